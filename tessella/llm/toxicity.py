@@ -121,7 +121,7 @@ class _Scores(dict):
 
     def of_word(self, word: str) -> float:
         get = self.lexicon.get
-        return max(get(word, 0.0), *(get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n))
+        return max([get(word, 0.0), *(get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n)])
 
     def of_token(self, token: str) -> float:
         bare = token.strip(_EDGE)
