@@ -1,9 +1,9 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how far each is to be trusted.
 
-Every rule says good, bad or nothing of a document. Votes are counted by pattern over all documents (at most
-3 ** len(RULES) rows, however large the corpus), and expectation-maximisation over those counts estimates, per rule,
-how likely each vote is for a good and for a bad document. A document is kept if its posterior of being good reaches
-the threshold and it passes the base rule. All of it is DataFrame operations; EM is one expression over one row.
+Every rule votes that a document is bad or abstains. Votes are counted by pattern over all documents (at most
+2 ** len(RULES) rows, however large the corpus), and expectation-maximisation over those counts estimates, per rule,
+how likely its vote is for a good and for a bad document, which is its accuracy. A document is kept if its posterior
+of being good reaches the threshold and it passes the base rule; no single vote decides. All of it is DataFrame operations; EM is one expression over one row.
 
 Defined results: null or empty text has no words and fails the base rule; repeated rows each keep their row; a null
 doc_id stays null; an empty table gives no rows; extra columns of the input are ignored.
@@ -19,21 +19,21 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD_GAP, let, stored, words
 
 WINDOW = 8
-GOOD, ABSTAIN, BAD = 2, 1, 0
-
-#: Rule -> (bad if, good if) over the measures; with neither, it abstains.
-RULES: dict[str, tuple[str, str]] = {
-    "symbols": ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    "dup_lines": ("n_dup_lines * 100 > 25 * n_lines", "n_dup_lines = 0"),
-    "repeats": ("n_repeat_words * 100 > 25 * n_words", "n_repeat_words * 100 <= 10 * n_words"),
-    "upper": ("n_upper * 100 > 40 * word_chars", "n_upper * 100 <= 15 * word_chars"),
-    "word_length": ("word_chars > 10 * n_words OR word_chars * 2 < 5 * n_words", "word_chars >= 3 * n_words AND word_chars <= 8 * n_words"),
-    "shouting": ("n_shouts * 10 > n_words", "n_shouts * 100 <= n_words"),
-    "length": ("n_words < 20", "n_words >= 50"),
-    "bars": ("n_bars * 5 > n_words", "n_bars = 0"),
+
+#: Rule -> condition over the measures under which it votes that the document is bad; otherwise it abstains.
+RULES: dict[str, str] = {
+    "symbols": "n_symbols * 10 > n_words",
+    "dup_lines": "n_dup_lines * 100 > 25 * n_lines",
+    "repeats": "n_repeat_words * 100 > 25 * n_words",
+    "upper": "n_upper * 100 > 40 * word_chars",
+    "word_length": "word_chars > 10 * n_words OR word_chars * 2 < 5 * n_words",
+    "shouting": "n_shouts * 10 > n_words",
+    "bars": "n_bars * 5 > n_words",
 }
-ITERATIONS = 20
-SMOOTH = 1.0
+ITERATIONS = 40
+#: Of good documents a rule is taken to accuse at most this share. Without a ceiling, EM would take the rules that
+#: agree most, however few documents they concern, for the only reliable ones.
+FALSE_ALARMS = 0.005
 
 
 def repeated_words(wordlist: Column, window: int = WINDOW) -> Column:
@@ -84,38 +84,33 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def votes() -> Column:
-    """One vote a rule: BAD, ABSTAIN or GOOD."""
-    return F.array(*[F.when(F.expr(bad), BAD).when(F.expr(good), GOOD).otherwise(ABSTAIN) for bad, good in RULES.values()])
-
+    """One entry a rule: true for a vote, false for an abstention."""
+    return F.array(*[F.coalesce(F.expr(bad), F.lit(False)) for bad in RULES.values()])
 
-def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(votes, n) -> one row: prior of good, and for good and bad the probability of each vote of each rule."""
-    rules = len(RULES)
-    first = [[[0.6 if v == own else 0.3 if v == ABSTAIN else 0.1 for v in (BAD, ABSTAIN, GOOD)] for _ in range(rules)] for own in (GOOD, BAD)]
-    table = lambda x: F.array(*[F.array(*[F.lit(p) for p in row]) for row in x])
 
-    def log_of(state: Column, side: str, p: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(rules - 1)), F.lit(0.0), lambda acc, r: acc + F.log(F.get(F.get(state[side], r), F.get(p["votes"], r))))
+def estimate(patterns: DataFrame, iterations: int = ITERATIONS, false_alarms: float = FALSE_ALARMS) -> DataFrame:
+    """(votes, n) -> one row: prior of good, and per rule how likely its vote is for a good and for a bad document."""
+    rules = F.sequence(F.lit(0), F.lit(len(RULES) - 1))
 
     def posterior(state: Column, p: Column) -> Column:
-        odds = F.log(state["prior"]) - F.log(F.lit(1.0) - state["prior"]) + log_of(state, "good", p) - log_of(state, "bad", p)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        def evidence(acc: Column, r: Column) -> Column:
+            g, b = F.get(state["good"], r), F.get(state["bad"], r)
+            return acc + F.when(F.get(p["votes"], r), F.log(g / b)).otherwise(F.log((1 - g) / (1 - b)))
 
-    def sums(weighted: Column, total: Column) -> Column:
-        one = lambda r, v: F.aggregate(weighted, F.lit(SMOOTH), lambda acc, p: acc + F.when(F.get(p["votes"], r) == v, p["w"]).otherwise(0.0))
-        return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda r: F.transform(F.array(F.lit(BAD), F.lit(ABSTAIN), F.lit(GOOD)), lambda v: one(r, v) / (total + 3 * SMOOTH)))
+        odds = F.aggregate(rules, F.log(state["prior"] / (1 - state["prior"])), evidence)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
     def step(state: Column, _: Column) -> Column:
         def update(e: Column) -> Column:
-            good = F.transform(e, lambda p: F.struct(p["votes"].alias("votes"), (p["n"] * p["post"]).alias("w")))
-            bad = F.transform(e, lambda p: F.struct(p["votes"].alias("votes"), (p["n"] * (F.lit(1.0) - p["post"])).alias("w")))
-            total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, p: acc + p["w"])
+            total = lambda w: F.aggregate(e, F.lit(0.0), lambda acc, p: acc + w(p))
+            good, bad = (lambda p: p["n"] * p["post"]), (lambda p: p["n"] * (F.lit(1.0) - p["post"]))
+            rate = lambda w, t, r: (total(lambda p: F.when(F.get(p["votes"], r), w(p)).otherwise(0.0)) + 1) / (t + 2)
 
             def of_totals(t: Column) -> Column:
                 return F.struct(
-                    ((t["g"] + SMOOTH) / (t["g"] + t["b"] + 2 * SMOOTH)).alias("prior"),
-                    let(good, lambda x: sums(x, t["g"])).alias("good"),
-                    let(bad, lambda x: sums(x, t["b"])).alias("bad"),
+                    ((t["g"] + 1) / (t["g"] + t["b"] + 2)).alias("prior"),
+                    F.transform(rules, lambda r: F.least(F.lit(false_alarms), rate(good, t["g"], r))).alias("good"),
+                    F.transform(rules, lambda r: rate(bad, t["b"], r)).alias("bad"),
                 )
 
             return let(F.struct(total(good).alias("g"), total(bad).alias("b")), of_totals)
@@ -123,7 +118,7 @@ def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
         e_step = F.transform(F.col("patterns"), lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(state, p).alias("post")))
         return let(e_step, update)
 
-    start = F.struct(F.lit(0.8).alias("prior"), table(first[0]).alias("good"), table(first[1]).alias("bad"))
+    start = F.struct(F.lit(0.85).alias("prior"), F.array(*[F.lit(false_alarms)] * len(RULES)).alias("good"), F.array(*[F.lit(0.3)] * len(RULES)).alias("bad"))
     one_row = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("patterns"))
     return one_row.select(F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step).alias("m")).select("m.*")
 
@@ -131,12 +126,11 @@ def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 def quality_rules(docs: DataFrame, *, threshold: float = 0.5, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good, votes."""
     found = stored(measures(docs, id_col=id_col, text_col=text_col).withColumn("votes", votes()), "measures")
-    # 1 + 2 * 3 * len(RULES) numbers reach the driver, whatever the input
+    # 1 + 2 * len(RULES) numbers reach the driver, whatever the input
     model = estimate(found.groupBy("votes").agg(F.count("*").alias("n")), iterations).first()
-    odds = F.lit(math.log(model["prior"]) - math.log(1.0 - model["prior"]))
-    for r in range(len(RULES)):
-        ratio = F.array(*[F.lit(math.log(model["good"][r][v]) - math.log(model["bad"][r][v])) for v in range(3)])
-        odds = odds + F.get(ratio, F.get("votes", r))
+    odds = F.lit(math.log(model["prior"] / (1.0 - model["prior"])))
+    for r, (g, b) in enumerate(zip(model["good"], model["bad"], strict=True)):
+        odds = odds + F.when(F.get("votes", F.lit(r)), math.log(g / b)).otherwise(math.log((1 - g) / (1 - b)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     p_good = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p_good >= threshold)).alias("kept"), p_good.alias("p_good"), "votes")
