@@ -576,9 +576,9 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return A.latency_percentiles(table(spark, d, "events"), ["event_type"], "value", [0, 50, 95, 99, 100])
 
 
-@register("latency_sliding", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS least, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS greatest FROM events")
+@register("latency_sliding", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS least, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS greatest FROM events")
 def latency_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return A.sliding_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("mean", 6).alias("mean"), "least", "greatest")
+    return A.sliding_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("mean", 9).alias("mean"), "least", "greatest")
 
 
 @register("hit_rate", "SELECT user_id, round(avg((event_type = 'click')::INT), 9) AS rate FROM events GROUP BY user_id")

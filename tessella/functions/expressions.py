@@ -88,7 +88,7 @@ def byte_size(n: Column) -> Column:
     power = F.greatest(F.lit(0), F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1024.0))))
     power = F.when(n >= F.pow(F.lit(1024.0), power + 1), power + 1).otherwise(power)
     unit = F.element_at(F.array(*[F.lit(u) for u in "KMGTPE"]), F.greatest(power, F.lit(1)).cast("int"))
-    return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(F.format_string("%.1f %sB", n / F.pow(F.lit(1024.0), power), unit))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(F.format_string("%.1f %sB", F.bround(n / F.pow(F.lit(1024.0), power), 1), unit))
 
 
 def disk_blocks(size: Column) -> Column:

@@ -42,20 +42,19 @@ def acl_check(requests: DataFrame, acl: DataFrame, now: Column) -> DataFrame:
 
 
 def effective_roles(assigned: DataFrame, parents: DataFrame, depth: int = 32) -> DataFrame:
-    """assigned: subject, role; parents: role, parent -> subject, role, all inherited ones too. Joined level by level
-    with what is new, so cycles end; stops when a level adds nothing."""
-    found = assigned.select("subject", "role").distinct()
+    """assigned: subject, role; parents: role, parent -> subject, role, all inherited ones too. A path never comes to a
+    role again, so cycles end, and the recursion stops with the longest chain; depth is only a guard."""
     spark = assigned.sparkSession
-    found.createOrReplaceTempView("tessella_assigned")
+    assigned.select("subject", "role").distinct().createOrReplaceTempView("tessella_assigned")
     parents.createOrReplaceTempView("tessella_parents")
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk(subject, role, depth) AS (
-          SELECT subject, role, 0 FROM tessella_assigned
+    return spark.sql(
+        f"""WITH RECURSIVE walk(subject, role, path) AS (
+          SELECT subject, role, array(role) FROM tessella_assigned
           UNION ALL
-          SELECT w.subject, p.parent, w.depth + 1 FROM walk w JOIN tessella_parents p ON p.role = w.role WHERE w.depth < {int(depth)}
+          SELECT w.subject, p.parent, array_append(w.path, p.parent) FROM walk w JOIN tessella_parents p ON p.role = w.role
+          WHERE NOT array_contains(w.path, p.parent) AND size(w.path) < {int(depth)}
         ) SELECT DISTINCT subject, role FROM walk"""
     )
-    return walked
 
 
 def rbac_check(requests: DataFrame, roles: DataFrame, permissions: DataFrame) -> DataFrame:
