@@ -148,8 +148,9 @@ def token_counts(docs: DataFrame, *, tokenizer_path: str | None = None, cache_pa
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     misses = first.join(known, "digest", "left_anti").withColumn("miss", F.lit(True))
     # Rows that needn't be encoded are named, not texts moved: a copy of another row, or one whose digest is known.
-    skip = stored(ids.join(misses, "digest", "left").where(F.col("miss").isNull() | (F.col("doc_id") != F.col("first_id"))).select("doc_id", "digest"), "known")
-    fresh = rows.join(small_side(skip), ["doc_id", "digest"], "left_anti").select("digest", "text")
+    skip = stored(ids.join(misses, "digest", "left").where(F.col("miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "digest"), "known")
+    r, k = rows.alias("r"), small_side(skip).alias("k")
+    fresh = r.join(k, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.digest") == F.col("k.digest")), "left_anti").select("r.digest", "r.text")
     encode_misses(fresh, path).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
 
     counts = spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
