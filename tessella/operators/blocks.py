@@ -15,18 +15,16 @@ def number(new: DataFrame, order: list[str], free: DataFrame | None = None, firs
 
     Ids are dense, so rows need a global order; it comes from counts per range partition and a rank within each, not
     from one task."""
-    spark = new.sparkSession
-    ranged = new.repartitionByRange(*order).withColumn("p", F.spark_partition_id())
-    ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(*order)))
-    sizes = ranked.groupBy("p").agg(F.count("*").alias("n"))  # one row a partition
-    starts = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start"))
-    placed = ranked.join(F.broadcast(starts), "p").withColumn("k", F.col("start") + F.col("r")).drop("p", "r", "start")
+    ranged = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    placed = ranked.join(F.broadcast(starts), "_part").withColumn("_k", F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
     if free is None:
-        return placed.withColumn("block_id", F.col("k") + first - 1).drop("k")
-    reused = number(free.select(F.col("block_id").alias("freed")).distinct(), ["freed"]).select(F.col("block_id").alias("k"), "freed")
-    n = reused.agg(F.count("*").alias("n"))
-    out = placed.join(reused, "k", "left").withColumn("block_id", F.coalesce("freed", F.col("k") - n.scalar() + first - 1)).drop("k", "freed")
-    return spark.createDataFrame([], out.schema).union(out)
+        return placed.withColumn("block_id", F.col("_k") + first - 1).drop("_k")
+    reused = number(free.select(F.col("block_id").alias("_freed")).distinct(), ["_freed"]).select(F.col("block_id").alias("_k"), "_freed")
+    count = reused.agg(F.count("*").alias("n"))
+    return placed.join(reused, "_k", "left").withColumn("block_id", F.coalesce("_freed", F.col("_k") - count.scalar() + first - 1)).drop("_k", "_freed")
 
 
 def written(data: DataFrame, order: list[str], *, compressed: bool = False, free: DataFrame | None = None, first: int = 1, block_type: int = 0) -> DataFrame:
