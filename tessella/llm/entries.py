@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontamination, html_extract, ngram_jaccard, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from tessella.llm.common import table
@@ -47,7 +48,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    """The spans removed, as start:end:doc_id:line of what stays, joined by commas, beside the text that is left."""
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda g: F.concat_ws(":", g["start"].cast("string"), g["end"].cast("string"), g["first_doc_id"].cast("string"), g["first_at"].cast("string")))
+    return found.select("doc_id", "text", "n_removed", F.array_join(spans, ",").alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -63,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": ngram_jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": ngram_jaccard.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}

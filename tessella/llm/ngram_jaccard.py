@@ -47,11 +47,6 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), let(w, lambda x: F.struct(F.unhex(F.md5(F.array_join(x, " "))).alias("key"), shingles(x).alias("s"))).alias("x")).select("id", "x.key", "x.s")
 
 
-def _need(a: Column, b: Column) -> Column:
-    """The least overlap of sets of these sizes with 100 * intersection >= 70 * union."""
-    return F.expr("1") * F.ceil((a + b) * 7 / F.lit(17))
-
-
 def _prefix(n: Column, shared: int, index: bool) -> Column:
     """Length of the prefix in which ``shared`` common shingles must stand, against sets at least as large or any."""
     need = F.floor((n * 14 + 16) / 17) if index else F.floor((n * 7 + 9) / 10)
@@ -129,8 +124,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = stored(classes.withColumn("first_key", F.min("key").over(Window.partitionBy("rep"))).where("key = first_key").drop("first_key"), "classes")
 
-    others = stored(listed.join(classes.select(F.col("rep").alias("id"), "key").withColumn("own", F.lit(True)), ["id", "key"], "left").where("own is null").select("id", "key"), "others")
-    one_each = _sets(docs, id_col, text_col).where("id is not null").join(small_side(others), ["id", "key"], "left_anti").dropDuplicates(["id"]) if _repeats(classes, live) else _sets(docs, id_col, text_col).where("id is not null").join(small_side(others), ["id", "key"], "left_anti")
+    own = classes.select(F.col("rep").alias("id"), "key").withColumn("own", F.lit(True))
+    others = stored(listed.join(own, ["id", "key"], "left").where("own is null").select("id", "key"), "others")
+    one_each = _sets(docs, id_col, text_col).where("id is not null").join(small_side(others), ["id", "key"], "left_anti")
+    if _repeats(classes, live):
+        one_each = one_each.dropDuplicates(["id"])
 
     postings = one_each.where(F.size("s") > 0).select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
     shared = postings.withColumn("cnt", F.count("*").over(Window.partitionBy("h"))).where("cnt > 1")
@@ -142,8 +140,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     pairs = stored(_candidates(prefixes), "pairs")
     ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-    keyed = ids.join(classes.select(F.col("rep").alias("id"), "key"), "id")
-    sets = stored(_sets(docs, id_col, text_col).join(small_side(keyed), ["id", "key"], "left_semi").select("id", "s").dropDuplicates(["id"]), "sets")
+    # Sets are made again only of candidates: rows are filtered by id before their texts are split, and by key after.
+    texts = docs.join(small_side(ids.select(F.col("id").alias(id_col))), id_col, "left_semi")
+    keyed = classes.select(F.col("rep").alias("id"), "key")
+    sets = stored(_sets(texts, id_col, text_col).join(keyed, ["id", "key"], "left_semi").select("id", "s").dropDuplicates(["id"]), "sets")
     links = _verify(pairs, sets)
 
     copies = classes.select(F.col("rep").alias("id"), "copies")

@@ -74,3 +74,19 @@ def substring_dedup(docs: DataFrame, *, unit: str = "line", least_words: int = L
     keep = F.filter(F.split("text", gap), lambda p, i: ~F.array_contains(F.col("ats"), i))
     left = F.when(F.size("ats") == 0, F.col("text")).otherwise(F.array_join(keep, gap))
     return cut.select("doc_id", left.alias("text"), F.size("ats").cast("long").alias("n_removed"), F.coalesce("removed", F.array()).alias("removed"))
+
+
+ORACLE = f"""
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents
+), units AS (
+  SELECT doc_id, k, part, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(part) - 1)::BIGINT AS a, list_filter(string_split_regex(lower(part), '\\s+'), lambda w: w <> '') AS w FROM parts
+), firsts AS (
+  SELECT array_to_string(w, ' ') AS n, arg_min(doc_id, (doc_id, k)) AS first_doc, arg_min(k, (doc_id, k)) AS first_at FROM units WHERE len(w) >= {LEAST_WORDS} GROUP BY n
+), marked AS (
+  SELECT u.*, f.first_doc, f.first_at, f.n IS NOT NULL AND (f.first_doc, f.first_at) <> (u.doc_id, u.k) AS gone FROM units u LEFT JOIN firsts f ON len(u.w) >= {LEAST_WORDS} AND f.n = array_to_string(u.w, ' ')
+)
+SELECT doc_id, coalesce(string_agg(part, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(string_agg(a || ':' || (a + length(part)) || ':' || first_doc || ':' || first_at, ',' ORDER BY k) FILTER (WHERE gone), '') AS spans
+FROM marked GROUP BY doc_id
+"""
