@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import TlvError
+from tessella.shipping import ship
 
 NULL, STRING, BYTES, BOOL, ARRAY, MAP = 0, 11, 12, 13, 14, 15
 _SIGNED = {1: "<b", 3: "<h", 5: "<i", 7: "<q"}
@@ -120,6 +121,8 @@ def to_json(data: Column) -> Column:
     """Decoded items as JSON text (bytes in hexadecimal), malformed ones null; parse_json makes it a variant."""
     import json
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         def one(v):

@@ -16,9 +16,11 @@ import struct
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.errors import CorruptedError, InvalidValueError
+from tessella.shipping import ship
 
 MAGIC, VERSION, OLDEST, HEADER_SIZE = 0x44654653, 1, 1, 256
 _HEADER = struct.Struct(">IHHqqQQQI")
@@ -134,3 +136,9 @@ class ContainerSource(DataSource):
         if not found:
             raise InvalidValueError(f"no files at {path}")
         return _Reader(found, self._what(), self.options.get("verify", "true") == "true")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and its workers."""
+    ship(spark)
+    spark.dataSource.register(ContainerSource)

@@ -161,7 +161,7 @@ def test_stores(spark, tmp_path):
 def test_container_files(spark, tmp_path):
     for k in range(3):
         container.write(str(tmp_path / f"{k}.frag"), {4: b"title%d" % k, 0x1001: b"v"}, [{"id": j, "data": bytes([j]) * j, "next": j + 1} for j in range(1, 4)], created=7)
-    spark.dataSource.register(container.ContainerSource)
+    container.register(spark)
     read = lambda what, glob="*.frag": spark.read.format("tessella-container").option("what", what).load(str(tmp_path / glob))
     assert read("files").count() == 3 and {r.created for r in read("files").collect()} == {7}
     assert {bytes(r.value) for r in read("metadata").where("tag = 4").collect()} == {b"title0", b"title1", b"title2"}
