@@ -23,14 +23,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import stored
+from tessella.llm.common import small_side, stored
+from tessella.shipping import map_arrow
 
 NGRAM = 2
 #: n-grams of a block of items, at most; a block is a set of so many entries in each Python worker.
 BLOCK_NGRAMS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-THRESHOLD = 0.5
+THRESHOLD = 0.45
 _WORD = re.compile(r"\w+")
 
 
@@ -94,7 +96,7 @@ def _hit_counts(docs: DataFrame, wanted: frozenset, n: int, short: int) -> dict[
                     counts[g] += 1
         yield pa.RecordBatch.from_arrays([pa.array(["\x1f".join(g) for g in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select("text"), run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {tuple(r["gram"].split("\x1f")): r["n"] for r in rows}
 
 
@@ -125,6 +127,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     id_type, item_type = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    key_types = [to_arrow_type(rows.schema["doc_id"].dataType), to_arrow_type(items.schema["item_id"].dataType)]
     schema = f"doc_id {id_type}, item_id {item_type}, score double, n_match int, start_word int, end_word int"
 
     found = []
@@ -145,11 +148,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
             block, seeds, short = shared.value
             known = frozenset(seeds)
             bags = [frozenset(w) for _, w in block]
-            kinds = None
             for batch in batches:
                 out: list[list] = [[] for _ in range(6)]
                 ids = batch.column(0)
-                kinds = kinds or ids.type
                 for row, value in enumerate(batch.column(1)):
                     words = tokens(value.as_py() or "")
                     hit = held(known, words, n, short)
@@ -158,10 +159,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
                     for k, best in scored(block, bags, seeds, hit, words, n, short, threshold).items():
                         for column, x in zip(out, (ids[row].as_py(), block[k][0], *best), strict=True):
                             column.append(x)
-                types = [pa_type(id_type), pa_type(item_type), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+                types = [*key_types, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "item_id", "score", "n_match", "start_word", "end_word"])
 
-        found.append(stored(rows.mapInArrow(run, schema), "contaminated"))
+        found.append(stored(map_arrow(rows, run, schema), "contaminated"))
     if not found:
         return spark.createDataFrame([], schema)
     every_pair = found[0]
@@ -170,10 +171,6 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
     return every_pair.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_match", "start_word", "end_word")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def pa_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[name]
-
-
 def scored(block, bags, seeds, hit, words, n, short, threshold) -> dict[int, tuple[float, int, int, int]]:
     """Item of the block -> (score, words matched, start, end) for those that reach the threshold."""
     places: dict[int, list[int]] = defaultdict(list)
@@ -201,7 +198,5 @@ def scored(block, bags, seeds, hit, words, n, short, threshold) -> dict[int, tup
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a contaminated passage; all columns as they are. Rows without doc_id stay."""
-    from tessella.llm.common import small_side
-
     bad = stored(contaminated_pairs(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "leaks")
     return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import stored
+from tessella.shipping import map_arrow
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("number", "secret", "key", "name", "street")
@@ -242,7 +243,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.string()), pa.array(cand, pa.list_(pa.string()))], ["doc_id", "td", "base", "cand"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("td"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, td long, base string, cand array<string>")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, td long, base string, cand array<string>")
 
 
 def decide(found: DataFrame, takes: frozenset[int]) -> DataFrame:
@@ -261,7 +262,7 @@ def decide(found: DataFrame, takes: frozenset[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "td", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, td long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(found, run, f"doc_id {kind}, td long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def fitted(found: DataFrame) -> frozenset[int]:
@@ -302,4 +303,4 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

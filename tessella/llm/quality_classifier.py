@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_side, stored
+from tessella.shipping import map_arrow
 
 TRAIN_ROWS = 20_000
 MEASURES = ("log_words", "mean_word", "symbols", "bars", "upper", "shouts", "digits", "stops", "dup_lines", "distinct_words", "short_lines", "long_words")
@@ -99,7 +100,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "host", "path", "m"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, host string, path string, m array<double>")
+    return map_arrow(docs, run, f"doc_id {kind}, host string, path string, m array<double>")
 
 
 def fit(found: DataFrame, labels: DataFrame, train_rows: int) -> Evidence | None:
@@ -141,7 +142,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(odds)], ["doc_id", "host", "path", "odds"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    scored = stored(found.mapInArrow(run, f"doc_id {kind}, host string, path string, odds double").withColumn("evidence", F.lit(1.0) / (1 + F.exp(-F.col("odds")))), "evidence")
+    scored = stored(map_arrow(found, run, f"doc_id {kind}, host string, path string, odds double").withColumn("evidence", F.lit(1.0) / (1 + F.exp(-F.col("odds")))), "evidence")
 
     # sums of (host, path), then of hosts, then of all: each aggregated before it is shuffled, whatever a host holds
     paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good")), "paths")

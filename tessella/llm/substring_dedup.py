@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_side, stored
+from tessella.shipping import map_arrow
 
 #: Units of fewer words stay: headings and short phrases recur by themselves.
 LEAST_WORDS = 8
@@ -50,7 +51,7 @@ def units(docs: DataFrame, *, unit: str = "line", least_words: int = LEAST_WORDS
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "td", "at", "start", "end", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "td", "text").mapInArrow(run, f"doc_id {kind}, td long, at int, start int, end int, digest binary")
+    return map_arrow(docs.select("doc_id", "td", "text"), run, f"doc_id {kind}, td long, at int, start int, end int, digest binary")
 
 
 def substring_dedup(docs: DataFrame, *, unit: str = "line", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

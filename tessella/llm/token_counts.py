@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import shared_dir, small_side, stored
+from tessella.shipping import map_arrow
 
 #: Distinct chunks remembered by a Python worker; beyond it the memo starts anew. It bounds memory, never results.
 MEMO_ENTRIES = 300_000
@@ -128,7 +129,7 @@ def encode_misses(rows: DataFrame, path: str) -> DataFrame:
             n = [count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    return rows.mapInArrow(run, "digest binary, n_tokens long")
+    return map_arrow(rows, run, "digest binary, n_tokens long")
 
 
 def token_counts(docs: DataFrame, *, tokenizer_path: str | None = None, cache_path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_side, stored
+from tessella.shipping import map_arrow
 
 TRAIN_ROWS = 20_000
 LEXICON = 4_000
@@ -208,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             keys = list(toxic.keys() | clean.keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["f", "a", "b"])
 
-    counts = stored(sample.mapInArrow(emit, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "features")
+    counts = stored(map_arrow(sample, emit, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "features")
     at, bt = totals[1], totals[0]
     ratio = F.log((F.col("a") + 0.1) / (at + 1)) - F.log((F.col("b") + 0.5) / (bt + 1))
     sure = ratio - 1.0 * F.sqrt(1 / (F.col("a") + 0.1) + 1 / (F.col("b") + 2.0))
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             rows = [hits(t or "", scores) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), batch.column(1)], ["x0", "x1", "x2", "toxic"])
 
-    rows = sample.mapInArrow(seen, "x0 double, x1 double, x2 double, toxic int").collect()
+    rows = map_arrow(sample, seen, "x0 double, x1 double, x2 double, toxic int").collect()
     return Model(lexicon, words, logistic([((r["x0"], r["x1"], r["x2"]), r["toxic"]) for r in rows]))
 
 
@@ -252,5 +253,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS
                 out.append(sigmoid(sum(a * b for a, b in zip(fitted.weights, (1.0, *x), strict=True))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_arrow(rows, score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

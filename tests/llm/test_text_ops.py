@@ -38,7 +38,7 @@ def test_structure(article, text):
         assert found.startswith(text)
 
 
-def test_repeated_runs_against_brute_force():
+def test_run_pages_against_brute_force():
     r = random.Random(2)
     for _ in range(30):
         pages = [[r.randint(1, 3) for _ in range(r.randint(0, 30))] for _ in range(5)]
@@ -53,9 +53,22 @@ def test_repeated_runs_against_brute_force():
             w = tuple(tokens[k : k + 8])
             if 0 not in w:
                 runs.setdefault(w, set()).add(owner[k])
-        want = {k + j for k in range(len(tokens) - 7) if len(runs.get(tuple(tokens[k : k + 8]), ())) > 1 for j in range(8)}
-        got = H.repeated_runs(H.np.array(tokens), H.np.array(owner))
-        assert set(H.np.flatnonzero(got)) == want
+        want = [max([0, *(len(runs.get(tuple(tokens[k : k + 8]), ())) for k in range(max(0, i - 7), min(i, len(tokens) - 8) + 1))]) for i in range(len(tokens))]
+        assert H.run_pages(H.np.array(tokens), H.np.array(owner)).tolist() == want
+
+
+def test_common_blocks_of_articles(spark):
+    body = lambda k: " ".join(f"word{k}x{j}" for j in range(30))
+    blurb = "subscribe to the letter that we send to all of our readers each week"
+    copied = " ".join(f"copied{j}" for j in range(40))
+    text = lambda k: [body(k)] + [copied] * (k < 4)
+    article = lambda k, extra: page("<article>" + "".join(f"<p>{p}</p>" for p in [*text(k), *extra]) + "</article>")
+    rows = [(k, f"http://big.example/{k}", article(k, [blurb])) for k in range(30)] + [(100 + k, f"http://small.example/{k}", article(k, [blurb])) for k in range(5)]
+    found = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(30):
+        assert found[k] == "\n".join(text(k))  # the blurb is on every page of the host; what four pages share stays
+    for k in range(5):
+        assert found[100 + k] == "\n".join([*text(k), blurb])  # too few pages to tell
 
 
 def test_open_pages_of_a_host(spark):
