@@ -28,7 +28,7 @@ from tessella.shipping import map_arrow
 
 WORD = 64
 #: Up to so many bytes a scan of the few pairs is quicker than the queue; both take the lowest rank, leftmost first.
-SHORT = 12
+SHORT = 32
 
 
 class RankQueue:
@@ -86,17 +86,18 @@ class Codec:
         return self._scan(piece) if len(piece) <= SHORT else self._merge(piece)
 
     def _scan(self, piece: bytes) -> list[int]:
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (low := min(pairs)) < 1 << 60:
+        get, none = self.ranks.get, 1 << 60
+        ends = list(range(len(piece) + 1))  # the parts' borders
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (low := min(pairs)) < none:
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del ends[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                pairs[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-        return [ranks[p] for p in parts]
+                pairs[i] = get(piece[ends[i] : ends[i + 2]], none)
+        ranks = self.ranks
+        return [ranks[piece[x:y]] for x, y in zip(ends, ends[1:], strict=False)]
 
     def _merge(self, piece: bytes) -> list[int]:
         ranks, queue, n = self.ranks, self.queue, len(piece)
@@ -162,17 +163,23 @@ class Codec:
 
 
 class _Memo(dict):
-    """Remembers up to MEMO_ENTRIES short keys, then starts anew."""
+    """Remembers short keys in two generations of at most MEMO_ENTRIES: the older one is dropped when the younger is
+    full, and what is asked for again moves to the younger, so frequent keys stay."""
 
     def __init__(self, make) -> None:
         self.make = make
+        self.older: dict[str, str] = {}
 
     def __missing__(self, key: str) -> str:
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
