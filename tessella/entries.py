@@ -62,8 +62,8 @@ _dsl("pred_endswith", "part", "p_partkey", "p_brand endswith 3", "ends_with(p_br
 _dsl("pred_matches", "part", "p_partkey", 'p_brand matches "#[12][0-4]$"', "regexp_matches(p_brand, '#[12][0-4]$')")
 for _op, _sql in {"==": "=", "!=": "<>", ">": ">", ">=": ">=", "<": "<", "<=": "<="}.items():
     _word = {"==": "eq", "!=": "ne", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}[_op]
-    _dsl(f"pred_int_{_word}", "orders", "o_orderkey", f"int:o_totalprice {_op} 150000", f"trunc(o_totalprice)::BIGINT {_sql} 150000")
-    _dsl(f"pred_float_{_word}", "customer", "c_custkey", f"c_acctbal {_op} 2500.5", f"c_acctbal {_sql} 2500.5")
+    _dsl(f"pred_int_{_word}", "events", "event_id", f"int:value {_op} 42", f"trunc(value)::BIGINT {_sql} 42")
+    _dsl(f"pred_float_{_word}", "events", "event_id", f"value {_op} 10.5", f"value {_sql} 10.5")
     _dsl(f"pred_date_{_word}", "orders", "o_orderkey", f"date:o_orderdate {_op} 1996-01-02", f"o_orderdate {_sql} TIMESTAMP '1996-01-02'")
 _dsl("pred_bool_eq", "labels", "doc_id", "bool:toxic == true", "toxic <> 0")
 _dsl("pred_bool_ne", "labels", "doc_id", "bool:quality != true", "(quality <> 0) <> true")
@@ -443,9 +443,9 @@ def write_blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.written(data, ["p_partkey"]).select("block_id", "p_partkey", "size", "checksum")
 
 
-@register("write_blocks_reusing", "WITH f AS (SELECT p_partkey * 3 AS freed, row_number() OVER (ORDER BY p_partkey) AS k FROM part WHERE p_partkey <= 50), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT s_suppkey, coalesce(freed, b.k - (SELECT count(*) FROM f) + 999) AS block_id FROM b LEFT JOIN f USING (k)")
+@register("write_blocks_reusing", "WITH f AS (SELECT n_nationkey * 3 AS freed, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT s_suppkey, coalesce(freed, b.k - (SELECT count(*) FROM f) + 999) AS block_id FROM b LEFT JOIN f USING (k)")
 def write_blocks_reusing(spark: SparkSession, d: str) -> DataFrame:
-    free = table(spark, d, "part").where("p_partkey <= 50").select((F.col("p_partkey") * 3).alias("block_id"))
+    free = table(spark, d, "nation").select((F.col("n_nationkey") * 3).alias("block_id"))
     return B.number(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], free, first=1000).select("s_suppkey", "block_id")
 
 
