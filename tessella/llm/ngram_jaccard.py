@@ -130,11 +130,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if _repeats(classes, live):
         one_each = one_each.dropDuplicates(["id"])
 
-    postings = one_each.where(F.size("s") > 0).select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    # The two large shuffles carry ids, hashes and counts alone; sizes come after them.
+    postings = one_each.where(F.size("s") > 0).select("id", F.explode("s").alias("h"))
     shared = postings.withColumn("cnt", F.count("*").over(Window.partitionBy("h"))).where("cnt > 1")
     per_set = Window.partitionBy("id")
     n = F.col("n")
-    placed = shared.withColumn("pos", n - F.count("*").over(per_set) + F.row_number().over(per_set.orderBy("cnt", "h")))
+    ranked = shared.withColumn("m", F.count("*").over(per_set)).withColumn("r", F.row_number().over(per_set.orderBy("cnt", "h")))
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    placed = ranked.join(small_side(sizes), "id").withColumn("pos", n - F.col("m") + F.col("r")).drop("m", "r")
     placed = placed.withColumn("probe1", _prefix(n, 1, False)).withColumn("index1", _prefix(n, 1, True))
     prefixes = stored(placed.where("pos <= probe1 + 1"), "prefixes")
 
