@@ -61,7 +61,9 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     frequent = prefixes.where((F.col("cnt") > FREQUENT) & (F.col("pos") <= F.col("probe1") + 1))
     per_set = Window.partitionBy("id")
     frequent = stored(frequent.withColumn("f", F.count("*").over(per_set)), "frequent")
-    few, many = frequent.where(F.col("f") <= COMBINED), frequent.where(F.col("f") > COMBINED)
+    # Sets of one shingle have no pairs; larger similar ones always share two.
+    by_pairs = (F.col("f") <= COMBINED) & (F.col("n") > 1)
+    few, many = frequent.where(by_pairs), frequent.where(~by_pairs)
     # Pairs of frequent shingles: at most COMBINED rows are gathered for a set.
     gathered = few.groupBy("id", "n", "index1").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("t"))
     later = lambda a: F.filter(F.col("t"), lambda b: b["pos"] > a["pos"])

@@ -59,6 +59,13 @@ def test_against_all_pairs(spark, monkeypatch, seed, frequent, combined):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+def test_many_classes_with_one_shingle(spark, monkeypatch):
+    monkeypatch.setattr(N, "FREQUENT", 3)
+    rows = [(k, "a " * k) for k in range(3, 40)] + [(100, "b c b c b"), (101, "b c b c b c"), (102, "c b c b c b c"), (103, "b c b c b c b c"), (104, "c b c b c b")]
+    found = N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(5000))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "one", None), (5, "ONE", "x"), (6, "one two", "x"), (None, "one two", "x"), (8, long, "x"), (9, long + " z", "x"), (10, "a b c d", "x"), (10, "a b c d", "x")]
