@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman scores what they seed.
 
-Every n-gram of the test items is counted over all texts (by documents that hold it). The rarest half of an item's
-n-grams are its seeds, however frequent they are, so a widely leaked item keeps seeds. A document that holds a seed
-of an item is aligned with it: Smith-Waterman over words, on the stretch around each bundle of seed hits, so that
-edited or paraphrased copies still score. A pair is contaminated if the alignment's share of a perfect score reaches
-the threshold.
+Every n-gram of the test items is counted over all texts (by documents that hold it); one that no document holds is
+no seed. Two words that follow each other in the item also count as held with one word between them in the text. An
+alignment that reaches the threshold holds at least ``least_hits`` of an item's pairs, so the rarest are its seeds, as
+many as leave fewer than that out: every such alignment meets a seed, however often edited copies have leaked. A
+document that holds a seed of an item is aligned with it: Smith-Waterman over words, on the stretch around each bundle
+of seed hits. A pair is contaminated if the alignment's share of a perfect score reaches the threshold. Items of under
+four words, and n other than 2, need one whole n-gram instead.
 
 Test items are taken in blocks of a bounded number of n-grams; a block is sent to all tasks, and each block is one
 pass over the texts. Texts themselves never travel.
@@ -16,8 +18,9 @@ a null doc_id; without items or texts there are no pairs; extra columns of the i
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,9 +75,19 @@ def align(item: list[str], text: list[str]) -> tuple[int, int, int, int]:
     return best
 
 
-def stretches(places: list[int], size: int, length: int) -> list[tuple[int, int]]:
-    """Parts of a text around the places, an item's size and a half to both sides, merged where they touch."""
-    reach, out = size + size // 2 + 4, []
+def least_hits(size: int, n: int, threshold: float) -> int:
+    """How many of an item's ``size`` - 1 pairs an alignment of the threshold holds, at most one word between the two.
+
+    Of m matches with m - 1 steps between them, h are such pairs, b pass over words of the item (at least 1 off, and
+    m + b <= size) and the others over two words of the text (2 off). So the score is at most 2 h + b + 2, which is at
+    most 1.5 h + size / 2 + 1.5, and must reach 2 threshold size."""
+    return max(1, math.ceil((4 * threshold - 1) * size / 3 - 1 - 1e-9)) if n == 2 else 1
+
+
+def stretches(places: list[int], size: int, length: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Parts of a text around the places, as far to both sides as an alignment may reach, merged where they touch."""
+    # an item's words, and as many others as a perfect score can lose
+    reach, out = size + math.ceil((MATCH - MATCH * threshold) * size) + 4, []
     for p in sorted(places):
         a, b = max(0, p - reach), min(length, p + reach)
         if out and a <= out[-1][1] and b - out[-1][0] <= 8 * reach:
@@ -101,8 +114,10 @@ def _hit_counts(docs: DataFrame, wanted: frozenset, n: int, short: int) -> dict[
 
 
 def held(known: frozenset, words: list[str], n: int, short: int) -> frozenset:
-    """The known n-grams among the words; ``short``: length of the shortest known one."""
+    """The known n-grams among the words, pairs also around a word; ``short``: length of the shortest known one."""
     found = known.intersection(zip(*(words[k:] for k in range(n)), strict=False))
+    if n == 2:
+        found |= known.intersection(zip(words, words[2:], strict=False))
     for k in range(short, n):
         found |= known.intersection(zip(*(words[j:] for j in range(k)), strict=False))
     return found
@@ -134,19 +149,22 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
     # Items arrive one partition at a time, never all at once; each block is a pass over the texts.
     listed = ((r["item_id"], w) for r in items.orderBy("item_id", "text").toLocalIterator() if (w := tokens(r["text"])))
     for block in _blocks(listed, n):
-        of_item = [list(dict.fromkeys(grams(w, n))) for _, w in block]
+        of_item = [Counter(grams(w, n)) for _, w in block]
         every = frozenset(g for gs in of_item for g in gs)
         short = min(map(len, every))
         counts = _hit_counts(rows, every, n, short)
         seeds: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for k, gs in enumerate(of_item):
-            for g in sorted(gs, key=lambda g: (counts.get(g, 0), g))[: (len(gs) + 1) // 2]:
-                seeds[g].append(k)
-        shared = spark.sparkContext.broadcast((block, dict(seeds), short))
+            spare = least_hits(len(block[k][1]), n, threshold) - 1  # pairs that need not be seeds: the most frequent
+            for g in sorted((g for g in gs if g in counts), key=lambda g: (counts[g], g), reverse=True):
+                spare -= gs[g]
+                if spare < 0:
+                    seeds[g].append(k)
+        shared = spark.sparkContext.broadcast((block, of_item, dict(seeds), short))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seeds, short = shared.value
-            known = frozenset(seeds)
+            block, of_item, seeds, short = shared.value
+            known = frozenset(g for gs in of_item for g in gs)
             bags = [frozenset(w) for _, w in block]
             for batch in batches:
                 out: list[list] = [[] for _ in range(6)]
@@ -156,7 +174,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
                     hit = held(known, words, n, short)
                     if not hit:
                         continue
-                    for k, best in scored(block, bags, seeds, hit, words, n, short, threshold).items():
+                    for k, best in scored(block, of_item, bags, seeds, hit, words, n, short, threshold).items():
                         for column, x in zip(out, (ids[row].as_py(), block[k][0], *best), strict=True):
                             column.append(x)
                 types = [*key_types, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
@@ -171,23 +189,32 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM,
     return every_pair.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_match", "start_word", "end_word")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def scored(block, bags, seeds, hit, words, n, short, threshold) -> dict[int, tuple[float, int, int, int]]:
+def scored(block, of_item, bags, seeds, hit, words, n, short, threshold) -> dict[int, tuple[float, int, int, int]]:
     """Item of the block -> (score, words matched, start, end) for those that reach the threshold."""
+    near = {k for g in hit for k in seeds.get(g, ())}
+    near = {k for k in near if sum(m for g, m in of_item[k].items() if g in hit) >= least_hits(len(block[k][1]), n, threshold)}
+    if not near:
+        return {}
     places: dict[int, list[int]] = defaultdict(list)
-    for size in range(short, n + 1):
-        for at, g in enumerate(zip(*(words[k:] for k in range(size)), strict=False)):
+    runs = [zip(*(words[k:] for k in range(size)), strict=False) for size in range(short, n + 1)]
+    if n == 2:
+        runs.append(zip(words, words[2:], strict=False))
+    for run in runs:
+        for at, g in enumerate(run):
             if g in hit:
-                for k in seeds[g]:
-                    places[k].append(at)
+                for k in seeds.get(g, ()):
+                    if k in near:
+                        places[k].append(at)
     out = {}
     for k, ats in places.items():
         item = block[k][1]
         perfect = MATCH * len(item)
         best = (0, 0, 0, 0)
-        for a, b in stretches(ats, len(item), len(words)):
+        for a, b in stretches(ats, len(item), len(words), threshold):
             part = words[a:b]
+            there = set(part)
             # the alignment can't match more words of the item than stand in the stretch
-            if MATCH * sum(w in bags[k] for w in part) < threshold * perfect or MATCH * sum(w in set(part) for w in item) < threshold * perfect:
+            if MATCH * sum(w in bags[k] for w in part) < threshold * perfect or MATCH * sum(w in there for w in item) < threshold * perfect:
                 continue
             s, c, x, y = align(item, part)
             best = max(best, (s, c, a + x, a + y))

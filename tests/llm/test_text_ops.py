@@ -134,6 +134,24 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted((d, i) for d, i, *_ in map(tuple, D.contaminated_pairs(docs, bench).collect())) == sorted((d, i) for d, i, *_ in one)
 
 
+def test_many_edited_copies_of_an_item(spark):
+    r = random.Random(5)
+    item = [f"w{k}" for k in range(24)]
+    edits = [[w if j % 3 else f"x{k}q{j}" for j, w in enumerate(item)] for k in range(50)]  # each third word is another
+    edits += [item[:12] + [f"y{k}"] for k in range(20)]
+    edits += [[x for w in item for x in (w, f"z{k}")] for k in range(3)]  # no two words of the item in a row
+    docs = spark.createDataFrame([(k, " ".join([f"a{k}", f"b{k}", *e, f"c{k}"])) for k, e in enumerate(edits)], "doc_id long, text string")
+    found = D.contaminated_pairs(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {x.doc_id for x in found} == set(range(len(edits)))
+
+    items = [(k, " ".join(r.choices("abcdefghijklmnop", k=r.randint(4, 14)))) for k in range(30)]
+    texts = [(k, " ".join(r.choices("abcdefghijklmnop", k=r.randint(5, 60)))) for k in range(60)]
+    found = D.contaminated_pairs(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    best = {(d, i): D.align(w, t.split())[0] / (2 * len(w)) for d, t in texts for i, w in ((i, x.split()) for i, x in items)}
+    want = {p: s for p, s in best.items() if s >= D.THRESHOLD}
+    assert want and {(x.doc_id, x.item_id): x.score for x in found} == want
+
+
 # --- personal data -------------------------------------------------------------------------------------------------
 
 
