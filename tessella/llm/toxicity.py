@@ -7,7 +7,8 @@ beginnings that labelled toxic documents use far more than others form the lexic
 and how many a text's hits are gives the score.
 
 Labels are learned from only where crc32(doc_id as text) mod 5 is not 0, from at most ``train_rows`` labelled rows,
-chosen by a hash; that bound concerns fitting alone, and every row of the input is scored.
+chosen by a hash; that bound concerns the lexicon and the logistic fit alone. The character model counts the words of
+all texts, and every row of the input is scored.
 
 Defined results: null or empty text gets the score of a text without hits; repeated rows each keep their row; a null
 doc_id is not held out and not learned from; without labels of both kinds every score is 0; an empty table gives no
@@ -40,22 +41,35 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿
 _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-][^\W_]){3,}(?!\S)")
 _SPACED_SIGN = re.compile(r"(?<!\S)[\w@$!](?:[ ._*-][\w@$!]){3,}(?!\S)")
+_WIDE = re.compile("[\u2e80-\U0010ffff]")
 _START, _END = "^", "$"
 
 
+def _folded(text: str) -> str:
+    """Ideographs and syllables as one character, so that the table of trigrams stays one of alphabets."""
+    return text if text.isascii() else _WIDE.sub("\u4e00", text)
+
+
+def trigrams_of(words: dict[str, int]) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for word, n in words.items():
+        s = _START + _START + _folded(word) + _END
+        for k in range(2, len(s)):
+            out[s[k - 2 : k + 1]] += n
+    return out
+
+
 class CharModel:
-    """Character trigrams with interpolation, learned from words and their counts."""
+    """Character trigrams with interpolation, learned from words and their counts, and from trigrams and theirs."""
 
-    def __init__(self, words: dict[str, int]) -> None:
-        self.tri: Counter[str] = Counter()
+    def __init__(self, words: dict[str, int], trigrams: dict[str, int] | None = None) -> None:
+        self.tri: Counter[str] = trigrams_of(words)
+        self.tri.update(trigrams or {})
         self.bi: Counter[str] = Counter()
         self.uni: Counter[str] = Counter()
-        for word, n in words.items():
-            s = _START + _START + word + _END
-            for k in range(2, len(s)):
-                self.tri[s[k - 2 : k + 1]] += n
-                self.bi[s[k - 2 : k]] += n
-                self.uni[s[k]] += n
+        for s, n in self.tri.items():
+            self.bi[s[:2]] += n
+            self.uni[s[2]] += n
         self.total = sum(self.uni.values()) or 1
         self.memo: dict[str, float] = {}
 
@@ -64,9 +78,9 @@ class CharModel:
         key = before + char
         found = self.memo.get(key)
         if found is None:
-            low = (self.uni[char] + 0.5) / (self.total + 60)
-            seen = self.bi[before]
-            found = self.memo[key] = -math.log((self.tri[key] + 5 * low) / (seen + 5))
+            s = _folded(key)
+            low = (self.uni[s[2]] + 0.5) / (self.total + 60)
+            found = self.memo[key] = -math.log((self.tri[s] + 5 * low) / (self.bi[s[:2]] + 5))
         return found
 
 
@@ -110,7 +124,8 @@ def restore(token: str, model: CharModel) -> str:
 
 class Model(NamedTuple):
     lexicon: dict[str, float]  # a word, or a beginning with "*" behind it -> log-odds of toxic documents
-    words: dict[str, int]  # for the character model
+    words: dict[str, int]  # those of the lexicon, for the character model
+    trigrams: dict[str, int]  # of all texts' words, each once a text
     weights: tuple[float, float, float, float] | None  # None: nothing to learn from
 
 
@@ -118,7 +133,7 @@ class _Scores(dict):
     """Token -> log-odds of its restored form, 0 if it's in no way toxic."""
 
     def __init__(self, model: Model) -> None:
-        self.lexicon, self.chars = model.lexicon, CharModel(model.words)
+        self.lexicon, self.chars = model.lexicon, CharModel(model.words, model.trigrams)
 
     def of_word(self, word: str) -> float:
         get = self.lexicon.get
@@ -192,6 +207,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def char_counts(docs: DataFrame) -> dict[str, int]:
+    """How often each character trigram stands in the words of all texts, a word once a text; "": how many texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            words: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                words.update({w for t in set((text or "").lower().split()) if (w := t.strip(_EDGE)).isalpha()})
+            counts.update(trigrams_of(words))
+            counts[""] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["s", "n"])
+
+    rows = map_arrow(docs.select("text"), run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    return {r["s"]: r["n"] for r in rows}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -199,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sample = stored(docs.join(small_side(chosen, max(train_rows, 1)), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
-        return Model({}, {}, None)
+        return Model({}, {}, {}, None)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,14 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sure = ratio - 1.0 * F.sqrt(1 / (F.col("a") + 0.1) + 1 / (F.col("b") + 2.0))
     strong = counts.where(F.col("a") >= max(5, 0.004 * at)).withColumn("s", sure).where("s > 2.0")
     lexicon = {r["f"]: float(r["s"]) for r in strong.orderBy(F.desc("s"), "f").limit(LEXICON).collect()}
-    plain = counts.where(~F.col("f").endswith("*")).select("f", (F.col("a") + F.col("b")).alias("n")).orderBy(F.desc("n"), "f").limit(50_000)
-    words = {r["f"]: r["n"] for r in plain.collect()}
+    trigrams = char_counts(docs)
+    texts = trigrams.pop("", 0)
+    words: dict[str, int] = {}
     # a lexicon word must be likely enough to be restored, however rare it is among all words
     for f in lexicon:
         if not f.endswith("*"):
-            words[f] = words.get(f, 0) + max(50, sum(totals.values()) // 20)
+            words[f] = max(50, texts // 20)
 
-    unfitted = Model(lexicon, words, None)
+    unfitted = Model(lexicon, words, trigrams, None)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(unfitted)
@@ -231,14 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), batch.column(1)], ["x0", "x1", "x2", "toxic"])
 
     rows = map_arrow(sample, seen, "x0 double, x1 double, x2 double, toxic int").collect()
-    return Model(lexicon, words, logistic([((r["x0"], r["x1"], r["x2"]), r["toxic"]) for r in rows]))
+    return Model(lexicon, words, trigrams, logistic([((r["x0"], r["x1"], r["x2"]), r["toxic"]) for r in rows]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit(rows, labels.select(F.col(id_col).alias("doc_id"), "toxic"), train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON features and 50 000 words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON features, and the trigrams of alphabets
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

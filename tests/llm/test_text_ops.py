@@ -266,6 +266,13 @@ def test_learns_and_holds_out(spark):
     assert [by[1000 + k] for k in range(4)] == [1] * 4 and by[2000] == by[2001] == 0 and by[None] == 1
 
 
+def test_characters_of_all_texts(spark):
+    docs = spark.createDataFrame([(k, "idiot word" if k % 2 else "plain word") for k in range(40)] + [(100 + k, "zyx, 漢字") for k in range(3)] + [(None, "zyx", ), (200, None)], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    assert model.trigrams["^^z"] == model.trigrams["zyx"] == model.trigrams["yx$"] == 4 and model.trigrams["^^w"] == 40
+    assert T.CharModel({}, model.trigrams).tri == T.CharModel({"idiot": 20, "plain": 20, "word": 40, "zyx": 4, "漢字": 3}).tri
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
