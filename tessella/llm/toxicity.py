@@ -1,8 +1,11 @@
 """Toxicity of texts whose words may be disguised: a noisy-channel decoder restores them, then a lexicon scores them.
 
-A token that looks disguised (symbols or digits among letters, letters repeated three times or more, single letters
-spaced out) spans a lattice of characters: look-alikes stand for letters, runs shrink to one or two, separators
-vanish. Viterbi takes the path that a character trigram model and the channel's costs like best. Words and word
+A token that looks disguised (symbols or digits among letters, letters repeated three times or more), and three or
+more single letters spaced out, span a lattice of characters: look-alikes stand for letters, runs shrink to one or two,
+separators and spaces vanish or are borders of words. Viterbi takes the path that a character trigram model and the
+channel's costs like best, over any length, and what it restores is scored word by word. Neighbouring tokens without
+letters to restore that are a lexicon word when put together ("id iot") count as that word. Pieces of two letters and
+more that are both apart and otherwise disguised ("1d 10t") are decoded one by one only. Words and word
 beginnings that labelled toxic documents use far more than others form the lexicon; a logistic model over how strong
 and how many a text's hits are gives the score.
 
@@ -39,8 +42,8 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SEPARATORS = frozenset(".-_*~^'`,/\\")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—·"
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-][^\W_]){3,}(?!\S)")
-_SPACED_SIGN = re.compile(r"(?<!\S)[\w@$!](?:[ ._*-][\w@$!]){3,}(?!\S)")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
+_SPACED_SIGN = re.compile(r"(?<!\S)[\w@$!](?:[ ._*-][\w@$!]){2,}(?!\S)")
 _WIDE = re.compile("[\u2e80-\U0010ffff]")
 _START, _END = "^", "$"
 
@@ -90,7 +93,8 @@ def disguised(token: str) -> bool:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place the strings that may stand there and what they cost in the channel; '' drops the place."""
+    """For each place the strings that may stand there and what they cost in the channel; '' drops the place, a
+    space is a border of words."""
     out = []
     run = 0
     for k, c in enumerate(token):
@@ -101,25 +105,37 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0)] if run == 1 else again)
             continue
         ways = [(x, 0.7) for x in LOOKALIKES.get(c, "")]
-        if c in SEPARATORS or run > 1 or not ways:
+        if not c.isalnum() and (c in SEPARATORS or not ways):
+            ways.append((" ", 0.5))
+        if c in SEPARATORS or run > 1 or not ways or ways[-1][0] == " ":
             ways.append(("", 0.5))
         out.append(ways)
     return out
 
 
 def restore(token: str, model: CharModel) -> str:
-    """Viterbi over the lattice: state, the last two characters."""
-    best: dict[str, tuple[float, str]] = {_START + _START: (0.0, "")}
-    for ways in lattice(token[:64]):
-        step: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
+    """Viterbi over the lattice: state, the last two characters; linear in the token. Words with single spaces between."""
+    fresh = _START + _START
+    best: dict[str, tuple[float, tuple | None]] = {fresh: (0.0, None)}  # the path as (path before, character)
+    for ways in lattice(_LONG_RUN.sub(r"\1\1\1", token)):
+        step: dict[str, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in best.items():
             for char, price in ways:
-                new = cost + price + (model.cost(state, char) if char else 0.0)
-                to = (state + char)[-2:]
+                new, to, way = cost + price, state, path
+                if char == " ":
+                    if state != fresh:
+                        new, to, way = new + model.cost(state, _END), fresh, (path, char)
+                elif char:
+                    new, to, way = new + model.cost(state, char), (state + char)[-2:], (path, char)
                 if to not in step or new < step[to][0]:
-                    step[to] = (new, text + char)
+                    step[to] = (new, way)
         best = step
-    return min((cost + model.cost(state, _END), text) for state, (cost, text) in best.items())[1]
+    path = min(((cost + (model.cost(state, _END) if state != fresh else 0.0), state) for state, (cost, _) in best.items()))[1]
+    out, path = [], best[path][1]
+    while path:
+        path, char = path
+        out.append(char)
+    return "".join(reversed(out)).strip()
 
 
 class Model(NamedTuple):
@@ -130,44 +146,77 @@ class Model(NamedTuple):
 
 
 class _Scores(dict):
-    """Token -> log-odds of its restored form, 0 if it's in no way toxic."""
+    """Token -> log-odds of each toxic word of its restored form; none if it's in no way toxic."""
 
     def __init__(self, model: Model) -> None:
         self.lexicon, self.chars = model.lexicon, CharModel(model.words, model.trigrams)
+        self.whole = {w: s for w, s in model.lexicon.items() if not w.endswith("*")}
+        self.longest = max(map(len, self.whole), default=0)
 
     def of_word(self, word: str) -> float:
         get = self.lexicon.get
         return max([get(word, 0.0), *(get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n)])
 
-    def of_token(self, token: str) -> float:
+    def of_restored(self, token: str) -> tuple[float, ...]:
+        return tuple(s for w in restore(token, self.chars).split() if (s := self.of_word(w)))
+
+    def of_token(self, token: str) -> tuple[float, ...]:
         bare = token.strip(_EDGE)
         if not bare:
-            return 0.0
-        score = self.of_word(bare)
+            return ()
+        score = self.of_word(bare) if bare.isalpha() else self.whole.get(bare, 0.0)
         if score:
-            return score
-        if len(token) <= 64 and disguised(bare) and any(map(str.isalpha, bare)):
-            score = self.of_word(restore(bare, self.chars))
-        if not score and bare != token and token[:1] in "$@!" and len(token) <= 64:
-            score = self.of_word(restore(token.rstrip(_EDGE), self.chars))
-        return score
-
-    def __missing__(self, token: str) -> float:
-        score = self.of_token(token)
-        if len(token) <= 64:
+            return (score,)
+        found: tuple[float, ...] = ()
+        if disguised(bare) and any(map(str.isalpha, bare)):
+            found = self.of_restored(bare) or tuple(filter(None, [self.of_word(bare)]))
+        if not found and bare != token and token[:1] in "$@!":
+            found = self.of_restored(token.rstrip(_EDGE))
+        return found
+
+    def of_spaced(self, span: str) -> tuple[float, ...]:
+        """Single characters spaced out: put together, or what the lattice with its spaces restores."""
+        score = self.whole.get("".join(c for c in span if c not in " ._*-"), 0.0)
+        return (score,) if score else self.of_restored(span)
+
+    def of_pieces(self, tokens: list[str]) -> list[float]:
+        """Lexicon words that stand over two tokens or more, none of which is toxic by itself."""
+        bare = [t.strip(_EDGE) for t in tokens]
+        out, free = [], 0
+        for k, start in enumerate(bare):
+            if k < free or not start or len(start) >= self.longest or self[tokens[k]]:
+                continue
+            glued = start
+            for m in range(k + 1, len(bare)):
+                glued += bare[m]
+                if not bare[m] or len(glued) > self.longest or self[tokens[m]]:
+                    break
+                if glued in self.whole and (m - k > 1 or len(start) > 1 or len(bare[m]) > 1):
+                    out.append(self.whole[glued])
+                    free = m + 1
+                    break
+        return out
+
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        found = self.of_token(token)
+        if len(token) <= 64:  # longer ones are scored each time
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
-            self[token] = score
-        return score
+            self[token] = found
+        return found
 
 
 def hits(text: str, scores: _Scores) -> tuple[float, float, float]:
     """Strongest hit, log of 1 + their sum, log of 1 + how many a hundred words."""
     low = text.lower()
     tokens = low.split()
-    found = [s for s in map(scores.__getitem__, tokens) if s]
-    if _SPACED_SIGN.search(low):
-        found += [s for m in _SPACED_SIGN.finditer(low) if (s := scores["".join(c for c in m.group() if c not in " ._*-")])]
+    found = [s for t in tokens for s in scores[t]]
+    spaced = [m.span() for m in _SPACED_SIGN.finditer(low)]
+    for a, b in spaced:
+        found += scores.of_spaced(low[a:b])
+    parts = [low[a:b] for a, b in zip([0, *(b for _, b in spaced)], [*(a for a, _ in spaced), len(low)], strict=True)] if spaced else [low]
+    for part in parts:
+        found += scores.of_pieces(part.split() if spaced else tokens)
     if not found:
         return 0.0, 0.0, 0.0
     return max(found), math.log1p(sum(found)), math.log1p(100 * len(found) / max(1, len(tokens)))

@@ -266,6 +266,14 @@ def test_learns_and_holds_out(spark):
     assert [by[1000 + k] for k in range(4)] == [1] * 4 and by[2000] == by[2001] == 0 and by[None] == 1
 
 
+@pytest.mark.parametrize("text", ["idi" + "o" * 80 + "t", "you-are-" * 9 + "idiot", "y o u i d i o t", "y.o.u.1.d.i.o.t", "i diot", "id iot", "go h o g", "y o u a r e " * 9 + "i d i o t"])
+def test_spaces_and_length_are_decoded(text):
+    words = {w: 50 for w in ("you", "are", "the", "house", "go", "idiot", "hog")}
+    scores = T._Scores(T.Model({"idiot": 4.0, "hog": 4.0}, words, {}, None))
+    assert T.hits(text, scores)[0] == 4.0
+    assert T.hits("you are the house", scores) == (0.0, 0.0, 0.0)
+
+
 def test_characters_of_all_texts(spark):
     docs = spark.createDataFrame([(k, "idiot word" if k % 2 else "plain word") for k in range(40)] + [(100 + k, "zyx, 漢字") for k in range(3)] + [(None, "zyx", ), (200, None)], "doc_id long, text string")
     model = T.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
