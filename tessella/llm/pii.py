@@ -1,7 +1,7 @@
 """Personal data found by labelers that vote, weighed by EM, and a span classifier trained on what they agree on.
 
 Fixed patterns give the base spans, which always stay. Beside them, candidate spans (long digit runs, secrets behind
-a key word, key-like tokens, titled or introduced names, street addresses, loose mails and phones) are voted on by
+a key word, key-like tokens, titled or introduced names, street addresses) are voted on by
 regex, gazetteer and context labelers; a labeler votes yes, no or abstains. Votes and the spans' features are counted
 by pattern over all documents (a bounded number of patterns), EM over these counts estimates the labelers'
 reliabilities, and a logistic span classifier is trained on the posteriors. Candidates it accepts are added unless
