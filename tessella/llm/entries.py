@@ -48,9 +48,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans removed, as start:end:doc_id:line of what stays, joined by commas, beside the text that is left."""
+    """The spans removed, as start:end:doc_id:start of what stays, joined by commas, beside the text that is left."""
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
-    spans = F.transform("removed", lambda g: F.concat_ws(":", g["start"].cast("string"), g["end"].cast("string"), g["first_doc_id"].cast("string"), g["first_at"].cast("string")))
+    spans = F.transform("removed", lambda g: F.concat_ws(":", g["start"].cast("string"), g["end"].cast("string"), g["first_doc_id"].cast("string"), g["first_start"].cast("string")))
     return found.select("doc_id", "text", "n_removed", F.array_join(spans, ",").alias("spans"))
 
 

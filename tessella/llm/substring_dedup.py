@@ -1,93 +1,171 @@
-"""Removal of repeated lines or paragraphs, by digests grouped over the whole corpus.
+"""Removal of repeated lines, paragraphs and sentences within them, by digests grouped over the whole corpus.
 
-A text is cut into units (lines or paragraphs). A unit of enough words is known by the digest of its normalised form:
-its words in lower case, joined by single spaces. The earliest occurrence of a digest, by (doc_id, position), stays
-where it is; every other one is removed, with its offsets in the original text kept. Digests are grouped, not texts:
-the earliest occurrence is a minimum that is aggregated before the shuffle, so a unit that stands in a third of all
-rows is one value from each task.
+A text is cut into lines (or paragraphs), and those into sentences, which end with a run of .!? and the white space
+behind it. Each line and each sentence of a line of several is a unit, so a passage is found where it fills a line
+and where it stands inside one that is otherwise different. A unit of enough words is known by the digest of its
+normalised form: its words in lower case, joined by single spaces. The earliest occurrence of a digest, by (doc_id,
+start), stays where it is; every other one is removed, with its offsets in the original text kept. A sentence's
+earliest occurrence always stays: what would remove the line around it holds the sentence earlier still. A line that
+loses everything goes with its line break.
+
+Digests are grouped, not texts: the earliest occurrence is a minimum that is aggregated before the shuffle, so a unit
+that stands in a third of all rows is one value from each task, and the join back to its occurrences is one that AQE
+splits where it is skewed. Nothing is broadcast.
 
 Defined results: null text counts as empty and stays empty; repeated rows share doc_id and positions, so their units
 are one occurrence and stay in each of them; a row with a null doc_id ranks after all others; an empty table gives no
-rows; extra columns of the input are ignored.
+rows; extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_side, stored
+from tessella.llm.common import stored
 from tessella.shipping import map_arrow
 
-#: Units of fewer words stay: headings and short phrases recur by themselves.
-LEAST_WORDS = 8
+#: Units of fewer words stay: headings, phrases and short sentences recur by themselves.
+LEAST_WORDS = 16
 GAPS = {"line": "\n", "paragraph": "\n\n"}
+#: Tiles a line: sentences with the white space behind them, and what is left without an end.
+SENTENCE = "[^.!?]*[.!?]+[\\x09-\\x0D\\x20]*|[^.!?]+"
+_SENTENCE = re.compile(SENTENCE)
+
+
+def digest_of(part: str, least_words: int) -> bytes | None:
+    """Digest of a unit's normalised form; None if it has too few words."""
+    norm = part.lower().split()
+    return hashlib.blake2b(" ".join(norm).encode(), digest_size=16).digest() if len(norm) >= least_words else None
+
+
+def spans_of(text: str, gap: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """start, end and digest of each unit."""
+    here = 0
+    for part in text.split(gap):
+        whole = digest_of(part, least_words)
+        if whole:  # a part of too few words has no sentence of enough
+            yield here, here + len(part), whole
+            sentences = list(_SENTENCE.finditer(part))
+            if len(sentences) > 1:
+                for m in sentences:
+                    own = digest_of(m.group(), least_words)
+                    if own:
+                        yield here + m.start(), here + m.end(), own
+        here += len(part) + len(gap)
+
+
+def without(text: str, gap: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, and without the parts of which nothing is left."""
+    out, here = [], 0
+    waiting = sorted(spans)
+    for part in text.split(gap):
+        end = here + len(part)
+        kept, at, cut = [], here, False
+        while waiting and waiting[0][0] < end:
+            a, b = waiting.pop(0)
+            kept.append(text[at:a])
+            at, cut = b, True
+        kept.append(text[at:end])
+        left = "".join(kept)
+        if left.strip() or not cut:
+            out.append(left)
+        here = end + len(gap)
+    return gap.join(out)
 
 
 def units(docs: DataFrame, *, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, td, at, start, end, digest: every unit of enough words. td: hash of the whole text."""
+    """(doc_id, td, text) -> doc_id, td, start, end, digest: every unit of enough words. td: hash of the whole text."""
     gap = GAPS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, start, end, digest = [], [], [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                here = 0
-                for k, part in enumerate(text.split(gap)):
-                    norm = part.lower().split()
-                    if len(norm) >= least_words:
-                        rows.append(row)
-                        at.append(k)
-                        start.append(here)
-                        end.append(here + len(part))
-                        digest.append(hashlib.blake2b(" ".join(norm).encode(), digest_size=16).digest())
-                    here += len(part) + len(gap)
+            rows, start, end, digest = [], [], [], []
+            for row, value in enumerate(batch.column(2)):
+                for a, b, d in spans_of(value.as_py(), gap, least_words):
+                    rows.append(row)
+                    start.append(a)
+                    end.append(b)
+                    digest.append(d)
             own = pa.array(rows, pa.int32())
-            columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "td", "at", "start", "end", "digest"])
+            columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "td", "start", "end", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "td", "text"), run, f"doc_id {kind}, td long, at int, start int, end int, digest binary")
+    return map_arrow(docs.select("doc_id", "td", "text"), run, f"doc_id {kind}, td long, start int, end int, digest binary")
 
 
 def substring_dedup(docs: DataFrame, *, unit: str = "line", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what stays), n_removed, removed array<struct<start, end, first_doc_id, first_at>> in code points of
-    the original text, end exclusive, ordered by start."""
+    """doc_id, text (what stays), n_removed, removed array<struct<start, end, first_doc_id, first_start>> in code points
+    of the original text, end exclusive, ordered by start; sentences of a removed line aren't listed beside it."""
     gap = GAPS[unit]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("td"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     found = stored(units(rows, unit=unit, least_words=least_words), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), "td", F.col("at").alias("at"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), "td", "start", "end")
     firsts = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    firsts = stored(firsts, "firsts")
-    again = found.join(small_side(firsts), "digest").where(~place.eqNullSafe(F.col("first")))
+    again = found.join(firsts, "digest").where(~place.eqNullSafe(F.col("first")))
     # At most one row a unit of the document itself is gathered here
-    removed = again.groupBy("doc_id", "td").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"), "at"))).alias("gone"))
-    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("td").alias("r_td"), "gone")
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("td") == F.col("r_td")), "left")
+    gone = F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))))
+    removed = again.groupBy(F.col("doc_id").alias("r_id"), F.col("td").alias("r_td")).agg(gone.alias("gone"))
+    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("td") == F.col("r_td")), "left").select("doc_id", "text", "gone")
 
-    ats = F.transform(F.coalesce("gone", F.array()), lambda g: g["at"])
-    cut = joined.select("doc_id", "text", ats.alias("ats"), F.transform("gone", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["first_doc_id"].alias("first_doc_id"), g["first_at"].alias("first_at"))).alias("removed"))
-    keep = F.filter(F.split("text", gap), lambda p, i: ~F.array_contains(F.col("ats"), i))
-    left = F.when(F.size("ats") == 0, F.col("text")).otherwise(F.array_join(keep, gap))
-    return cut.select("doc_id", left.alias("text"), F.size("ats").cast("long").alias("n_removed"), F.coalesce("removed", F.array()).alias("removed"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = [], []
+            for value, found_spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                outer, free = [], 0
+                for g in found_spans or ():  # by start, the longer one first: those inside a span taken are no others
+                    if -g["back"] > free:
+                        outer.append({"start": g["start"], "end": -g["back"], "first_doc_id": g["first_doc_id"], "first_start": g["first_start"]})
+                        free = -g["back"]
+                whole = value.as_py()
+                texts.append(without(whole, gap, [(s["start"], s["end"]) for s in outer]) if outer else whole)
+                lists.append(outer)
+            kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", batch.schema.field("doc_id").type), ("first_start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, lists)), pa.int64()), pa.array(lists, kinds)], ["doc_id", "text", "n_removed", "removed"])
+
+    return map_arrow(joined, run, f"doc_id {kind}, text string, n_removed long, removed array<struct<start:int,end:int,first_doc_id:{kind},first_start:int>>")
 
 
 ORACLE = f"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents
+), lines AS (
+  SELECT doc_id, k, part, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(part) - 1)::BIGINT AS a, regexp_extract_all(part, '{SENTENCE}') AS ss FROM parts
+), tiles AS (
+  SELECT doc_id, k, a, ss, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS j FROM lines WHERE len(ss) > 0
+), sentences AS (
+  SELECT doc_id, k, j, s, len(ss) > 1 AS several, (a + sum(length(s)) OVER (PARTITION BY doc_id, k ORDER BY j) - length(s))::BIGINT AS a FROM tiles
 ), units AS (
-  SELECT doc_id, k, part, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(part) - 1)::BIGINT AS a, list_filter(string_split_regex(lower(part), '\\s+'), lambda w: w <> '') AS w FROM parts
+  SELECT doc_id, k, -1 AS j, a, a + length(part) AS b, list_filter(string_split_regex(lower(part), '\\s+'), lambda w: w <> '') AS w FROM lines
+  UNION ALL SELECT doc_id, k, j, a, a + length(s), list_filter(string_split_regex(lower(s), '\\s+'), lambda w: w <> '') FROM sentences WHERE several
+), named AS (
+  SELECT doc_id, k, j, a, b, array_to_string(w, ' ') AS n FROM units WHERE len(w) >= {LEAST_WORDS}
 ), firsts AS (
-  SELECT array_to_string(w, ' ') AS n, arg_min(doc_id, (doc_id, k)) AS first_doc, arg_min(k, (doc_id, k)) AS first_at FROM units WHERE len(w) >= {LEAST_WORDS} GROUP BY n
-), marked AS (
-  SELECT u.*, f.first_doc, f.first_at, f.n IS NOT NULL AND (f.first_doc, f.first_at) <> (u.doc_id, u.k) AS gone FROM units u LEFT JOIN firsts f ON len(u.w) >= {LEAST_WORDS} AND f.n = array_to_string(u.w, ' ')
+  SELECT n, min((doc_id, a, b)) AS f FROM named GROUP BY n
+), gone AS (
+  SELECT u.doc_id, u.k, u.j, u.a, u.b, f.f[1] AS first_doc, f.f[2] AS first_a FROM named u JOIN firsts f USING (n) WHERE f.f <> (u.doc_id, u.a, u.b)
+), outer_ones AS (
+  SELECT g.* FROM gone g WHERE g.j = -1 OR NOT EXISTS (SELECT 1 FROM gone o WHERE o.doc_id = g.doc_id AND o.k = g.k AND o.j = -1)
+), kept AS (
+  SELECT s.doc_id, s.k, coalesce(string_agg(s.s, '' ORDER BY s.j) FILTER (WHERE g.j IS NULL), '') AS t FROM sentences s LEFT JOIN outer_ones g ON g.doc_id = s.doc_id AND g.k = s.k AND (g.j = s.j OR g.j = -1) GROUP BY s.doc_id, s.k
+), cut AS (
+  SELECT DISTINCT doc_id, k FROM outer_ones
+), left_lines AS (
+  SELECT l.doc_id, l.k, CASE WHEN c.k IS NULL THEN l.part ELSE t.t END AS t FROM lines l LEFT JOIN cut c ON c.doc_id = l.doc_id AND c.k = l.k LEFT JOIN kept t ON t.doc_id = l.doc_id AND t.k = l.k
+  WHERE c.k IS NULL OR trim(t.t) <> ''
+), texts AS (
+  SELECT doc_id, string_agg(t, chr(10) ORDER BY k) AS text FROM left_lines GROUP BY doc_id
+), spans AS (
+  SELECT doc_id, count(*) AS n, string_agg(a || ':' || b || ':' || first_doc || ':' || first_a, ',' ORDER BY a) AS spans FROM outer_ones GROUP BY doc_id
 )
-SELECT doc_id, coalesce(string_agg(part, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(string_agg(a || ':' || (a + length(part)) || ':' || first_doc || ':' || first_at, ',' ORDER BY k) FILTER (WHERE gone), '') AS spans
-FROM marked GROUP BY doc_id
+SELECT d.doc_id, coalesce(t.text, '') AS text, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(s.spans, '') AS spans
+FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id
 """

@@ -204,32 +204,80 @@ def test_added_spans_and_redaction(spark):
 # --- repeated lines ------------------------------------------------------------------------------------------------
 
 
+def _tiles(line: str) -> list[tuple[int, int]]:
+    """Sentences of a line by walking over its characters."""
+    out, start, k = [], 0, 0
+    while k < len(line):
+        if line[k] in ".!?":
+            while k < len(line) and line[k] in ".!?":
+                k += 1
+            while k < len(line) and line[k].isspace():
+                k += 1
+            out.append((start, k))
+            start = k
+        else:
+            k += 1
+    return out + [(start, k)] * (start < k)
+
+
+def _without_repeats(rows: list[tuple]) -> list[tuple]:
+    """doc_id, text left, spans (start, end): what stands earlier, by doc_id and start, goes."""
+    least, named = U.LEAST_WORDS, []
+    for d, t in rows:
+        here = 0
+        for k, line in enumerate((t or "").split("\n")):
+            tiles = _tiles(line)
+            for j, (a, b) in enumerate([(0, len(line)), *(tiles if len(tiles) > 1 else [])]):
+                n = line[a:b].lower().split()
+                if len(n) >= least:
+                    named.append(((d is None, d or 0, here + a, here + b), d, t, k, j, " ".join(n)))
+            here += len(line) + 1
+    first = {}
+    for place, *_, n in named:
+        first[n] = min(first.get(n, place), place)
+    gone = {(d, t, k, j) for place, d, t, k, j, n in named if first[n] != place}
+    out = []
+    for d, t in rows:
+        here, left, spans = 0, [], []
+        for k, line in enumerate((t or "").split("\n")):
+            if (d, t, k, 0) in gone:
+                spans.append((here, here + len(line)))
+            else:
+                tiles = _tiles(line)
+                cut = [(d, t, k, j + 1) in gone and len(tiles) > 1 for j in range(len(tiles))]
+                spans += [(here + a, here + b) for (a, b), c in zip(tiles, cut) if c]
+                rest = "".join(line[a:b] for (a, b), c in zip(tiles, cut) if not c)
+                if rest.strip() or not any(cut):
+                    left.append(rest)
+            here += len(line) + 1
+        out.append((d, "\n".join(left), spans))
+    return out
+
+
 def test_units_against_brute_force(spark):
     r = random.Random(4)
-    lines = [" ".join(r.choice(["alpha", "beta", "gamma", "Delta"]) for _ in range(r.choice([2, 8, 9, 60]))) for _ in range(40)]
-    rows = [(k, "\n".join(r.choice([x, x.upper(), "  " + x]) for x in r.choices(lines, k=r.randint(0, 6))), "clash") for k in range(80)]
-    rows += [(200, None, ""), (5, rows[5][1], ""), (None, lines[3], ""), (201, "only\n" + " ".join(f"new{k}" for k in range(30)), "")]
-    first: dict[str, tuple] = {}
-    for d, t, _ in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
-        for k, u in enumerate((t or "").split("\n")):
-            n = " ".join(u.lower().split())
-            if len(n.split()) >= U.LEAST_WORDS:
-                first.setdefault(n, (d, k))
-    want = []
-    for d, t, _ in rows:
-        parts = (t or "").split("\n")
-        gone = [k for k, u in enumerate(parts) if (n := " ".join(u.lower().split())) in first and first[n] != (d, k)]
-        want.append((d, "\n".join(u for k, u in enumerate(parts) if k not in gone), len(gone)))
-    found = U.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, removed string")).collect()
-    assert sorted(((x.doc_id, x.text, x.n_removed) for x in found), key=str) == sorted(want, key=str)
-    texts = {(d, t or "") for d, t, _ in rows}
-    for x in found:
-        t = next(t for d, t in texts if d == x.doc_id)
-        for g in x.removed:
-            assert " ".join(t[g.start : g.end].lower().split()) in first
+    sentence = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "Delta", "3.5"]) for _ in range(n)) + r.choice([".", "!?", "...", ""])
+    pool = [sentence(r.choice([2, 15, 16, 17, 60])) for _ in range(30)]
+    line = lambda: r.choice(["", "  "]) + r.choice([" ", "  "]).join(r.choice([x, x.upper()]) for x in r.choices(pool, k=r.choice([1, 1, 2, 4])))
+    rows = [(k, "\n".join(line() for _ in range(r.randint(0, 6)))) for k in range(80)]
+    rows += [(200, None), (5, rows[5][1]), (None, pool[3]), (201, "only\n" + " ".join(f"new{k}" for k in range(30))), (202, " \n\n"), (203, ""), (204, " ".join(["long"] * 200_000))]
+    found = U.substring_dedup(spark.createDataFrame([(*x, "clash", 7, b"d") for x in rows], "doc_id long, text string, removed string, td long, digest binary")).collect()
+    want = _without_repeats(rows)
+    assert sorted(((x.doc_id, x.text, [(g.start, g.end) for g in x.removed]) for x in found), key=str) == sorted(want, key=str)
+    assert all(x.n_removed == len(x.removed) for x in found) and sum(x.n_removed for x in found) > 50
     assert U.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_passage_inside_a_longer_line(spark):
+    passage = [" ".join(f"{w}{k}" for k in range(20)) + "." for w in ("one", "two", "three")]
+    edited = "Something else stands before it. " + " ".join(passage) + " And behind it."
+    rows = [(1, "\n".join(passage)), (2, edited), (3, "Short. Words. Recur."), (4, "Short. Words. Recur.")]
+    found = {x.doc_id: x for x in U.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_removed == found[3].n_removed == found[4].n_removed == 0
+    assert found[2].text == "Something else stands before it. And behind it."
+    assert [(g.first_doc_id, edited[g.start : g.end].strip()) for g in found[2].removed] == [(1, p) for p in passage]
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
