@@ -9,10 +9,15 @@ prefix for all pairs of them meets the others on single ones instead. The smalle
 shorter prefix and the larger probes. Candidates are then verified on whole sets, which travel once to each block
 of partners rather than once to each partner. All of it is DataFrame operations.
 
+A class is known by the digest of its word sequence, never by a doc_id, so what else stands under an id of one of its
+rows doesn't matter. Postings of shingles that more documents hold than a task should count are counted by a partial
+aggregation and a join that AQE splits; which ones these are is read from a histogram of fixed size over all postings.
+
 Defined results: null, empty and all-space texts have an empty set, are linked with nothing and are their own
-component; repeated rows are documents of their own, each counted by the others; a row without doc_id is returned,
-linked with nothing, its component null; of several texts under one doc_id only the first by digest is linked; an
-empty table gives no rows; extra columns of the input are ignored.
+component; every row is a document of its own, so repeated rows count each other and several texts under one doc_id
+are each linked by their own words (a component's id is the smallest doc_id of its rows); a row without doc_id is
+returned, linked with nothing, its component null; an empty table gives no rows; extra columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import let, lower_ascii, small_side, stored, words
+from tessella.llm.common import discard, let, lower_ascii, small_side, stored, words
 
 SHINGLE = 3
 #: A shingle in more classes is frequent. It only divides the work; links are the same for any value.
 FREQUENT = 64
 #: Sets with up to so many frequent shingles in the prefix are indexed by pairs of them.
 COMBINED = 8
+#: Buckets of the histogram of postings, and the share of a task's postings from which on a bucket is counted apart.
+BUCKETS, HOT_SHARE = 1 << 18, 0.5
+#: Partners in one list that travels beside a set.
+PARTNERS = 4096
 
 
 def shingles(wordlist: Column) -> Column:
@@ -82,89 +91,131 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidate pairs that are similar. sets: id, s. A set is sent once to each block of its partners."""
+    """The candidate pairs that are similar. pairs and sets (id, s) are stored tables. A set is sent once to each block
+    of its partners, in lists of about PARTNERS."""
     spark = pairs.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Both sides are hashed by block; without this setting they would be shuffled by (block, x) once more, set by pair.
+    # It is one of a session of its own, so that no other plan gets it.
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if side.conf.isModifiable(key):
+            side.conf.set(key, value)
+    side.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own = lambda t: side.read.schema(t.schema).parquet(t._stored_at)
+    pairs, sets = own(pairs), own(sets)
+
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    grouped = pairs.groupBy("y", block(F.col("x")).alias("block")).agg(F.collect_list("x").alias("xs"))
+    lists = F.ceil(F.col("count") / (blocks * PARTNERS)).cast("int")
+    many = stored(pairs.groupBy("y").count().select("y", lists.alias("lists")).where("lists > 1"), "many")
+    listed = pairs if many.isEmpty() else pairs.join(small_side(many), "y", "left")
+    part = F.lit(0) if many.isEmpty() else F.pmod(F.hash("x"), F.coalesce("lists", F.lit(1)))
+    grouped = listed.groupBy("y", block(F.col("x")).alias("block"), part.alias("part")).agg(F.collect_list("x").alias("xs"))
     ys = grouped.join(sets.select(F.col("id").alias("y"), F.col("s").alias("ys")), "y").repartition(blocks, "block")
     xs = sets.select(block(F.col("id")).alias("block"), F.col("id").alias("x"), F.col("s").alias("xset")).repartition(blocks, "block")
     joined = ys.select("block", "y", "ys", F.explode("xs").alias("x")).join(xs.hint("shuffle_hash"), ["block", "x"])
     both = F.size(F.array_intersect("xset", "ys"))
     similar = both * 100 >= (F.size("xset") + F.size("ys") - both) * 70
-    # Both sides are hashed by block already; without this they would be shuffled by (block, x) once more, set by pair.
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return stored(joined.where(similar).select("x", "y"), "links")
-    finally:
-        spark.conf.set(name, before)
+    links = stored(joined.where(similar).select("x", "y"), "links")
+    return spark.read.schema(links.schema).parquet(links._stored_at)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable, for every id in the links (x, y). Smallest label of the neighbours,
-    then the label of the label, until nothing changes."""
+    then the label of the label, until nothing changes; labels only fall, so this ends, however long a chain is."""
     both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
-    labels = stored(labels, "labels")
-    for _ in range(rounds):
+    labels = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
+    while True:
         near = both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
-        lower = stored(lower, "lower")
+        lower = stored(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c")), "lower")
         jump = lower.select(F.col("id").alias("c"), F.col("c").alias("further"))
-        labels = stored(lower.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("further", "c")).alias("component")), "labels")
+        further = stored(lower.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("further", "c")).alias("component")), "labels")
+        discard(labels, lower)
+        labels = further
         if labels.where(F.col("old") != F.col("component")).isEmpty():
+            discard(both)
             return labels.select("id", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _counted(postings: DataFrame, hot_share: float) -> DataFrame:
+    """(id, h) with cnt, how many hold h, where that is over 1. A window counts what fits a task. Where one bucket of
+    the histogram holds ``hot_share`` of a task's postings or more, its shingles are counted by partial sums."""
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod("h", F.lit(BUCKETS))
+    sizes = postings.groupBy(bucket.alias("bucket")).count()
+    sizes = stored(sizes, "histogram")  # at most BUCKETS rows
+    least = (sizes.agg(F.sum("count")).first()[0] or 0) / tasks * hot_share
+    # at most tasks / hot_share rows reach the driver, as no more buckets can be so large
+    hot = [r["bucket"] for r in sizes.where(F.col("count") >= max(least, 2)).select("bucket").collect()]
+    discard(sizes)
+    window = lambda p: p.withColumn("cnt", F.count("*").over(Window.partitionBy("h"))).where("cnt > 1")
+    if not hot:
+        return window(postings)
+    apart = stored(postings.where(bucket.isin(hot)), "hot")
+    counts = apart.groupBy("h").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    return window(postings.where(~bucket.isin(hot))).unionByName(apart.join(counts, "h").select("id", "h", "cnt"))
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id; a row for each input row."""
     listed = stored(_sets(docs, id_col, text_col).select("id", "key", F.size("s").alias("n")), "listed")
     live = listed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    classes = stored(classes.withColumn("first_key", F.min("key").over(Window.partitionBy("rep"))).where("key = first_key").drop("first_key"), "classes")
-
-    own = classes.select(F.col("rep").alias("id"), "key").withColumn("own", F.lit(True))
-    others = stored(listed.join(own, ["id", "key"], "left").where("own is null").select("id", "key"), "others")
-    one_each = _sets(docs, id_col, text_col).where("id is not null").join(small_side(others), ["id", "key"], "left_anti")
-    if _repeats(classes, live):
-        one_each = one_each.dropDuplicates(["id"])
-
+    classes = stored(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
+    # A class goes by a short hash of its key, or by the key itself should two keys share a hash.
+    short = classes.groupBy(F.xxhash64("key")).count().where("count > 1").isEmpty()
+    cid = F.xxhash64("key") if short else F.col("key")
+
+    # One row stands for each class. Rows are left out by id before their texts are split; only where an id has
+    # several texts, or a row is repeated, something is left for later.
+    reps = classes.select(F.col("rep").alias("id"), "key")
+    idle = stored(listed.where("id is not null").select("id").distinct().join(reps.select("id"), "id", "left_anti"), "idle")
+    standing = live.join(reps.select("id").distinct(), "id", "left_semi")
+    strangers = stored(standing.join(reps, ["id", "key"], "left_anti").select("id", "key").distinct(), "strangers")
+    repeated = stored(live.join(reps, ["id", "key"]).groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
+    has_strangers, has_repeated = not strangers.isEmpty(), not repeated.isEmpty()
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        """id (that of the class), s."""
+        sets = _sets(rows, id_col, text_col).where(F.col("id").isNotNull() & (F.size("s") > 0))
+        if has_strangers:
+            sets = sets.join(small_side(strangers), ["id", "key"], "left_anti")
+        if has_repeated:
+            again = small_side(repeated)
+            sets = sets.join(again, ["id", "key"], "left_anti").unionByName(sets.join(again, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+        return sets.select(cid.alias("id"), "s")
+
+    rows = docs.select(id_col, text_col)
+    some = rows.where(F.col(id_col).isNotNull()).join(small_side(idle).withColumnRenamed("id", id_col), id_col, "left_anti")
     # The two large shuffles carry ids, hashes and counts alone; sizes come after them.
-    postings = one_each.where(F.size("s") > 0).select("id", F.explode("s").alias("h"))
-    shared = postings.withColumn("cnt", F.count("*").over(Window.partitionBy("h"))).where("cnt > 1")
+    shared = _counted(one_each(some).select("id", F.explode("s").alias("h")), hot_share)
     per_set = Window.partitionBy("id")
     n = F.col("n")
     ranked = shared.withColumn("m", F.count("*").over(per_set)).withColumn("r", F.row_number().over(per_set.orderBy("cnt", "h")))
-    sizes = classes.select(F.col("rep").alias("id"), "n")
-    placed = ranked.join(small_side(sizes), "id").withColumn("pos", n - F.col("m") + F.col("r")).drop("m", "r")
+    sizes = classes.select(cid.alias("id"), "n")
+    # ranked is hashed and sorted by id already, so only the sizes travel here
+    placed = ranked.join(sizes, "id").withColumn("pos", n - F.col("m") + F.col("r")).drop("m", "r")
     placed = placed.withColumn("probe1", _prefix(n, 1, False)).withColumn("index1", _prefix(n, 1, True))
     prefixes = stored(placed.where("pos <= probe1 + 1"), "prefixes")
 
     pairs = stored(_candidates(prefixes), "pairs")
-    ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-    # Sets are made again only of candidates: rows are filtered by id before their texts are split, and by key after.
-    texts = docs.join(small_side(ids.select(F.col("id").alias(id_col))), id_col, "left_semi")
-    keyed = classes.select(F.col("rep").alias("id"), "key")
-    sets = stored(_sets(texts, id_col, text_col).join(keyed, ["id", "key"], "left_semi").select("id", "s").dropDuplicates(["id"]), "sets")
+    # Sets are made again only of candidates: rows are filtered by id before their texts are split.
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    met = stored(classes.select(cid.alias("id"), "rep").join(ids, "id", "left_semi").select("rep").distinct(), "met")
+    sets = stored(one_each(rows.join(small_side(met), F.col(id_col) == F.col("rep"), "left_semi")), "sets")
     links = _verify(pairs, sets)
+    discard(prefixes, sets)
 
-    copies = classes.select(F.col("rep").alias("id"), "copies")
+    counts = classes.select(cid.alias("id"), "key", "rep", "copies")
     sided = links.select(F.col("x").alias("id"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("id"), F.col("x").alias("other")))
-    linked = sided.join(copies.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked"))
-    of_class = copies.join(linked, "id", "left").join(components(links), "id", "left").select(F.col("id").alias("rep"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("component", "id").alias("component_id"))
-    by_key = classes.select("key", "rep").join(of_class, "rep")
+    linked = sided.join(counts.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked"))
+    of_class = counts.join(linked, "id", "left").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_class = stored(of_class.select("key", "rep", "component", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar")), "linked")
+    smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_key = of_class.join(smallest, "component").select("key", "n_similar", "component_id")
     row = listed.withColumn("key", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")))
     return row.join(by_key, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _repeats(classes: DataFrame, live: DataFrame) -> bool:
-    """Whether a representative stands in the table more than once with its text; then one row of it is taken."""
-    return not live.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"]).groupBy("id").count().where("count > 1").isEmpty()
-
-
 ORACLE = """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents

@@ -66,6 +66,31 @@ def test_many_classes_with_one_shingle(spark, monkeypatch):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_clashing_ids_hot_shingles_and_no_broadcast(spark, monkeypatch, seed):
+    """Ids that stand with several texts lose no link, whichever way shingles are counted and tables are joined."""
+    monkeypatch.setattr("tessella.llm.common.BROADCAST_ROWS", 3)
+    monkeypatch.setattr(N, "PARTNERS", 1)
+    rows = [(k % 100, t) for k, t in corpus(seed, 160)] + [(1, "a b c d e"), (1, "x y z u v"), (5, "x y z u v"), (6, "x y z u v"), (7, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.similar_documents(docs, hot_share=0.001).collect())) == brute(rows)
+    assert sorted(map(tuple, N.similar_documents(docs).collect())) == brute(rows)
+
+
+def test_keys_that_share_a_hash(spark, monkeypatch):
+    """Should two classes have the same short hash, they go by their whole keys."""
+    real = N.F.xxhash64
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: N.F.pmod(real(*c), N.F.lit(2)) if isinstance(c[0], str) and c[0] == "key" else real(*c))
+    rows = corpus(9, 60)
+    assert sorted(map(tuple, N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_long_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 3000)], "x long, y long")
+    found = {r.id: r.component for r in N.components(links).collect()}
+    assert len(found) == 3001 and set(found.values()) == {0}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(5000))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "one", None), (5, "ONE", "x"), (6, "one two", "x"), (None, "one two", "x"), (8, long, "x"), (9, long + " z", "x"), (10, "a b c d", "x"), (10, "a b c d", "x")]
