@@ -3,14 +3,15 @@
 A token that looks disguised (symbols or digits among letters, letters repeated three times or more), and three or
 more single letters spaced out, span a lattice of characters: look-alikes stand for letters, runs shrink to one or two,
 separators and spaces vanish or are borders of words. Viterbi takes the path that a character trigram model and the
-channel's costs like best, over any length, and what it restores is scored word by word. Neighbouring tokens without
-letters to restore that are a lexicon word when put together ("id iot") count as that word. Pieces of two letters and
-more that are both apart and otherwise disguised ("1d 10t") are decoded one by one only. Words and word
+channel's costs like best, over any length, and what it restores is scored word by word. Neighbouring tokens
+that are a lexicon word when put together ("id iot"), as they are or, where one mixes letters with other signs, decoded
+("1d 10t"), count as that word. Words and word
 beginnings that labelled toxic documents use far more than others form the lexicon; a logistic model over how strong
 and how many a text's hits are gives the score.
 
 Labels are learned from only where crc32(doc_id as text) mod 5 is not 0, from at most ``train_rows`` labelled rows,
-chosen by a hash; that bound concerns the lexicon and the logistic fit alone. The character model counts the words of
+chosen by a hash; that bound concerns the lexicon and the logistic fit alone, and is the only one: every feature of
+those rows may enter the lexicon. The character model counts the words of
 all texts, and every row of the input is scored.
 
 Defined results: null or empty text gets the score of a text without hits; repeated rows each keep their row; a null
@@ -34,7 +35,6 @@ from tessella.llm.common import small_side, stored
 from tessella.shipping import map_arrow
 
 TRAIN_ROWS = 20_000
-LEXICON = 4_000
 MEMO_ENTRIES = 250_000
 PREFIXES = (3, 4, 5, 6)
 
@@ -152,6 +152,8 @@ class _Scores(dict):
         self.lexicon, self.chars = model.lexicon, CharModel(model.words, model.trigrams)
         self.whole = {w: s for w, s in model.lexicon.items() if not w.endswith("*")}
         self.longest = max(map(len, self.whole), default=0)
+        self.beginnings = {w[:n] for w in self.whole for n in range(1, len(w))}
+        self.pieces = _Pieces(self)
 
     def of_word(self, word: str) -> float:
         get = self.lexicon.get
@@ -181,20 +183,35 @@ class _Scores(dict):
 
     def of_pieces(self, tokens: list[str]) -> list[float]:
         """Lexicon words that stand over two tokens or more, none of which is toxic by itself."""
-        bare = [t.strip(_EDGE) for t in tokens]
+        kinds = list(map(self.pieces.__getitem__, tokens))
         out, free = [], 0
-        for k, start in enumerate(bare):
-            if k < free or not start or len(start) >= self.longest or self[tokens[k]]:
+        for k in [k for k, kind in enumerate(kinds) if kind]:
+            if k < free:
                 continue
+            start = tokens[k].strip(_EDGE)
             glued = start
-            for m in range(k + 1, len(bare)):
-                glued += bare[m]
-                if not bare[m] or len(glued) > self.longest or self[tokens[m]]:
-                    break
-                if glued in self.whole and (m - k > 1 or len(start) > 1 or len(bare[m]) > 1):
-                    out.append(self.whole[glued])
-                    free = m + 1
-                    break
+            if kinds[k] & START:
+                for m in range(k + 1, len(tokens)):
+                    more = tokens[m].strip(_EDGE)
+                    glued += more
+                    if not more or len(glued) > self.longest or self[tokens[m]]:
+                        break
+                    if glued in self.whole and (m - k > 1 or len(start) > 1 or len(more) > 1):
+                        out.append(self.whole[glued])
+                        free = m + 1
+                        break
+                    if glued not in self.beginnings:
+                        break
+            if k >= free and kinds[k] & MIXED:
+                for a, b in ((k, k + 1), (k - 1, k)):
+                    if free <= a and 0 <= a and b < len(tokens):
+                        both = [tokens[x].strip(_EDGE) for x in (a, b)]
+                        if min(map(len, both)) > 1 and sum(map(len, both)) <= 2 * self.longest and not self[tokens[a]] and not self[tokens[b]]:
+                            score = self.whole.get(restore("".join(both), self.chars), 0.0)
+                            if score:
+                                out.append(score)
+                                free = b + 1
+                                break
         return out
 
     def __missing__(self, token: str) -> tuple[float, ...]:
@@ -206,6 +223,29 @@ class _Scores(dict):
         return found
 
 
+START, MIXED = 1, 2
+
+
+class _Pieces(dict):
+    """Token -> whether a lexicon word may begin with it, and whether it mixes letters with signs that stand for them;
+    0 for tokens that are toxic by themselves."""
+
+    def __init__(self, scores: _Scores) -> None:
+        self.scores = scores
+
+    def __missing__(self, token: str) -> int:
+        bare = token.strip(_EDGE)
+        kind = 0
+        if bare and not self.scores[token]:
+            mixed = 1 < len(bare) <= self.scores.longest and not bare.isalpha() and any(map(str.isalpha, bare)) and any(c in LOOKALIKES for c in bare)
+            kind = START * (bare in self.scores.beginnings) | MIXED * mixed
+        if len(token) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[token] = kind
+        return kind
+
+
 def hits(text: str, scores: _Scores) -> tuple[float, float, float]:
     """Strongest hit, log of 1 + their sum, log of 1 + how many a hundred words."""
     low = text.lower()
@@ -227,7 +267,7 @@ def features_of(text: str) -> set[str]:
     out: set[str] = set()
     for token in set(text.lower().split()):
         word = token.strip(_EDGE)
-        if word.isalpha() and len(word) <= 40:
+        if word.isalpha():
             out.add(word)
             out.update(word[:n] + "*" for n in PREFIXES if len(word) > n)
     return out
@@ -295,7 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     ratio = F.log((F.col("a") + 0.1) / (at + 1)) - F.log((F.col("b") + 0.5) / (bt + 1))
     sure = ratio - 1.0 * F.sqrt(1 / (F.col("a") + 0.1) + 1 / (F.col("b") + 2.0))
     strong = counts.where(F.col("a") >= max(5, 0.004 * at)).withColumn("s", sure).where("s > 2.0")
-    lexicon = {r["f"]: float(r["s"]) for r in strong.orderBy(F.desc("s"), "f").limit(LEXICON).collect()}
+    # a feature stands in 1 of 250 of the toxic rows at least, so their number is bounded by how many a text has
+    lexicon = {r["f"]: float(r["s"]) for r in strong.collect()}
     trigrams = char_counts(docs)
     texts = trigrams.pop("", 0)
     words: dict[str, int] = {}
@@ -320,7 +361,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS
     """doc_id, held_out, score, predicted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit(rows, labels.select(F.col(id_col).alias("doc_id"), "toxic"), train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON features, and the trigrams of alphabets
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the fit's bounded rows, and the trigrams of alphabets
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

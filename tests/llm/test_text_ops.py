@@ -314,7 +314,7 @@ def test_learns_and_holds_out(spark):
     assert [by[1000 + k] for k in range(4)] == [1] * 4 and by[2000] == by[2001] == 0 and by[None] == 1
 
 
-@pytest.mark.parametrize("text", ["idi" + "o" * 80 + "t", "you-are-" * 9 + "idiot", "y o u i d i o t", "y.o.u.1.d.i.o.t", "i diot", "id iot", "go h o g", "y o u a r e " * 9 + "i d i o t"])
+@pytest.mark.parametrize("text", ["idi" + "o" * 80 + "t", "you-are-" * 9 + "idiot", "y o u i d i o t", "y.o.u.1.d.i.o.t", "i diot", "id iot", "go h o g", "you 1d 10t", "the 1di0 t0ts 1d10t", "1di ot", "y o u a r e " * 9 + "i d i o t"])
 def test_spaces_and_length_are_decoded(text):
     words = {w: 50 for w in ("you", "are", "the", "house", "go", "idiot", "hog")}
     scores = T._Scores(T.Model({"idiot": 4.0, "hog": 4.0}, words, {}, None))
@@ -322,6 +322,27 @@ def test_spaces_and_length_are_decoded(text):
     assert T.hits("you are the house", scores) == (0.0, 0.0, 0.0)
 
 
+def test_verdicts_depend_on_the_decoder(spark, monkeypatch):
+    """Disguised words in documents whose labels were never seen: found by the decoder, not without it."""
+    r = random.Random(5)
+    plain, bad = ["house", "green", "hill", "river", "stone", "stands", "there"], ["idiot", "moron", "trash", "loser"]
+    prose = lambda: " ".join(r.choice(plain) for _ in range(30))
+    rows = [(k, f"{prose()} {r.choice(bad) if k % 5 == 0 else 'calm'} {prose()}") for k in range(400)]
+    labels = [(k, int(k % 5 == 0)) for k in range(400)]
+    hidden = [(1000 + k, f"{prose()} {w} {prose()}") for k, w in enumerate(["1d10t", "m0r0n", "t r a s h", "l.0.s.e.r", "idiii0t", "1di ot", "m o r o n", "tr@sssh"])]
+    clean = [(2000 + k, f"{prose()} {w} {prose()}") for k, w in enumerate(["10 stone", "the 3rd hill", "a b c d", "v1.0", "50% off", "gr33n"])]
+    args = spark.createDataFrame(rows + hidden + clean, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(*args)
+
+    def verdicts() -> dict[int, bool]:
+        scores = T._Scores(model)
+        return {d: T.sigmoid(sum(a * b for a, b in zip(model.weights, (1.0, *T.hits(t, scores)), strict=True))) >= 0.5 for d, t in hidden + clean}
+
+    assert verdicts() == {d: d < 2000 for d, _ in hidden + clean}
+    monkeypatch.setattr(T, "restore", lambda token, model: token)
+    assert sum(verdicts()[d] for d, _ in hidden) <= 3
+
+
 def test_characters_of_all_texts(spark):
     docs = spark.createDataFrame([(k, "idiot word" if k % 2 else "plain word") for k in range(40)] + [(100 + k, "zyx, 漢字") for k in range(3)] + [(None, "zyx", ), (200, None)], "doc_id long, text string")
     model = T.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
