@@ -3,7 +3,8 @@
 A pre-token's bytes form a linked list. Each adjacent pair whose bytes are a token waits in the bucket of its rank;
 a bitmap over the ranks, with a summary bitmap over its words, tells which buckets hold something, and find-first-set
 picks the lowest rank. A bucket keeps positions; one that no longer starts a pair of this rank is stale and skipped.
-Every merge costs a few word operations, so a pre-token of n bytes takes O(n) queue steps, where rescanning takes O(n^2).
+Every merge costs a few word operations, so a pre-token of n bytes takes O(n) queue steps, where rescanning takes
+O(n^2). Every pre-token that is no whole token goes through the queue, whatever its length.
 
 Defined results: null or empty text has no ids and decodes to no bytes; repeated rows each keep their row; a null
 doc_id stays null; an empty table gives no rows; extra columns of the input are ignored.
@@ -26,41 +27,9 @@ from pyspark.sql import functions as F
 from tessella.llm.token_counts import MEMO_ENTRIES, chunks
 from tessella.shipping import map_arrow
 
-WORD = 64
-#: Up to so many bytes a scan of the few pairs is quicker than the queue; both take the lowest rank, leftmost first.
-SHORT = 32
-
-
-class RankQueue:
-    """Buckets of positions per rank under a two-level bitmap."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.leaf = [0] * (n_ranks // WORD + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            word = rank // WORD
-            self.leaf[word] |= 1 << (rank % WORD)
-            self.top |= 1 << word
-        else:
-            bucket.append(at)
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest waiting rank with all its positions from left to right."""
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.leaf[word]
-        low = bits & -bits
-        self.leaf[word] = bits ^ low
-        if bits == low:
-            self.top ^= 1 << word
-        rank = word * WORD + low.bit_length() - 1
-        return rank, sorted(self.buckets.pop(rank))
+#: Ranks under one word of the bitmap; its summary has a bit for each word.
+WORD = 256
+_BIT = [1 << k for k in range(1 << 12)]
 
 
 class Codec:
@@ -74,72 +43,90 @@ class Codec:
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.leaf = [0] * (max(self.tokens) // WORD + 1)  # the bitmap's words, all clear between pieces
         self._text_of_chunk = _Memo(self._ids_text)
         self._text_of_piece = _Memo(lambda piece: ",".join(map(str, self.encode_piece(piece.encode()))))
         self._token_of_text = {str(rank): token for rank, token in self.tokens.items()}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        return self._scan(piece) if len(piece) <= SHORT else self._merge(piece)
-
-    def _scan(self, piece: bytes) -> list[int]:
-        get, none = self.ranks.get, 1 << 60
-        ends = list(range(len(piece) + 1))  # the parts' borders
-        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while pairs and (low := min(pairs)) < none:
-            i = pairs.index(low)
-            del ends[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], none)
-            if i < len(pairs):
-                pairs[i] = get(piece[ends[i] : ends[i + 2]], none)
-        ranks = self.ranks
-        return [ranks[piece[x:y]] for x, y in zip(ends, ends[1:], strict=False)]
+        return [whole] if whole is not None else self._merge(piece)
 
     def _merge(self, piece: bytes) -> list[int]:
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank of the pair that starts here
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, places = found
+        get, leaf, bit, n = self.ranks.get, self.leaf, _BIT, len(piece)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is piece[i : nxt[i]]
+        waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here
+        waiting.append(-1)
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    leaf[rank // WORD] |= bit[rank % WORD]
+                    top |= bit[rank // WORD]
+        while top:
+            low = top & -top
+            word = low.bit_length() - 1
+            bits = leaf[word]
+            first = bits & -bits
+            leaf[word] = bits ^ first
+            if bits == first:
+                top ^= low
+            rank = word * WORD + first.bit_length() - 1
+            places = buckets.pop(rank)
+            if len(places) > 1:
+                places.sort()
             for k, i in enumerate(places):
                 if waiting[i] != rank:
                     continue  # stale: merged away, or its pair has changed
                 j = nxt[i]
-                part[i], part[j], waiting[j] = part[i] + part[j], None, -1
+                waiting[j] = -1
                 nxt[i] = after = nxt[j]
                 best = rank
                 if after < n:
                     prv[after] = i
-                    r = ranks.get(part[i] + part[after])
-                    waiting[i] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, i)
-                        best = min(best, r)
+                    waiting[i] = r = get(piece[i : nxt[after]], -1)
+                    if r >= 0:
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            leaf[r // WORD] |= bit[r % WORD]
+                            top |= bit[r // WORD]
+                        if r < best:
+                            best = r
                 else:
                     waiting[i] = -1
                 before = prv[i]
                 if before >= 0:
-                    r = ranks.get(part[before] + part[i])
-                    waiting[before] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, before)
-                        best = min(best, r)
+                    waiting[before] = r = get(piece[before:after], -1)
+                    if r >= 0:
+                        if r in buckets:
+                            buckets[r].append(before)
+                        else:
+                            buckets[r] = [before]
+                            leaf[r // WORD] |= bit[r % WORD]
+                            top |= bit[r // WORD]
+                        if r < best:
+                            best = r
                 if best < rank:  # a lower rank came up: the rest of this bucket waits its turn
-                    for x in places[k + 1 :]:
-                        if waiting[x] == rank:
-                            queue.push(rank, x)
+                    rest = [x for x in places[k + 1 :] if waiting[x] == rank]
+                    if rest:
+                        if rank in buckets:
+                            buckets[rank] += rest
+                        else:
+                            buckets[rank] = rest
+                            leaf[word] |= first
+                            top |= low
                     break
-        return [ranks[p] for p in part if p is not None]
+        out, i, ranks = [], 0, self.ranks
+        while i < n:
+            out.append(ranks[piece[i : nxt[i]]])
+            i = nxt[i]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in self.encode_piece(piece.encode())]

@@ -25,22 +25,33 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("short", [0, bpe.SHORT])
-def test_encoder_equals_library(monkeypatch, reference, short):
-    monkeypatch.setattr(bpe, "SHORT", short)
+def test_encoder_equals_library(reference):
     codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     for text in TEXTS:
         ids = reference.encode_ordinary(text)
         assert codec.encode(text) == ids
         assert codec.ids_text(text) == ",".join(map(str, ids))
         assert codec.decode(ids) == codec.decode_ids_text(codec.ids_text(text)) == text.encode()
+        assert not any(codec.leaf)
 
 
-def test_rank_queue_takes_lowest_first():
-    queue = bpe.RankQueue(10_000)
-    for rank, at in ((9999, 1), (64, 5), (64, 2), (0, 7)):
-        queue.push(rank, at)
-    assert [queue.pop() for _ in range(4)] == [(0, [7]), (64, [2, 5]), (9999, [1]), None]
+def test_queue_takes_every_pre_token_that_is_no_token(reference, monkeypatch):
+    """Short and very long ones alike; merges against rescanning for the lowest rank, leftmost first."""
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    merged = []
+    real = codec._merge
+    monkeypatch.setattr(codec, "_merge", lambda piece: merged.append(piece) or real(piece))
+    r = random.Random(2)
+    pieces = {bytes(r.choice(b"abinthe\xc3\xa9") for _ in range(n)) for n in [2, 3, 5, 9, 20, 33, 64] * 60} | {b"ab" * 700}
+    for piece in pieces:
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while found := [(codec.ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in codec.ranks]:
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert codec.encode_piece(piece) == [codec.ranks[x] for x in parts]
+    assert sorted(merged) == sorted(p for p in pieces if p not in codec.ranks)
+    text = "".join(r.choice("abcdeinth") for _ in range(300_000))
+    assert codec.encode(text) == reference.encode_ordinary(text)
 
 
 def test_round_trip_query(spark, reference):
