@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
+import pytest
+
 from tessella.llm import quality_classifier as C
 from tessella.llm import quality_rules as R
 
@@ -45,23 +48,52 @@ def test_votes_separate_junk(spark):
     assert kept == set(range(300))
 
 
-def test_em_matches_plain_python(spark):
-    counts = {(True, False, False, False, False, False, False): 40, (False,) * 7: 900, (False, True, True, False, False, False, False): 60}
-    row = R.estimate(spark.createDataFrame([(list(v), n) for v, n in counts.items()], "votes array<boolean>, n long")).first()
-    prior, good, bad = 0.85, [R.FALSE_ALARMS] * 7, [0.3] * 7
+def em(counts: dict[tuple, int]) -> tuple[list[float], list[list[float]]]:
+    """The same EM in plain Python."""
+    classes, rules = range(1 + len(R.DEFECTS)), range(len(R.RULES))
+    cast = lambda r, *kinds: sum(n for v, n in counts.items() if v[r] in kinds)
+    good = [max(R.FALSE_ALARM, min(1 - R.FALSE_ALARM, (cast(r, R.BAD) / max(1, cast(r, R.BAD, R.GOOD)) - 0.15) / 0.85)) for r in rules]
+    begin = [good, *([max(R.CAUGHT if name in own else R.ASIDE, g) for name, g in zip(R.RULES, good, strict=True)] for own in R.DEFECTS.values())]
+    prior, bad = [0.85, *[0.15 / len(R.DEFECTS)] * len(R.DEFECTS)], begin
+    total = sum(counts.values())
     for _ in range(R.ITERATIONS):
         post = {}
         for v in counts:
-            g, b = prior, 1 - prior
-            for x, p, q in zip(v, good, bad, strict=True):
-                g, b = g * (p if x else 1 - p), b * (q if x else 1 - q)
-            post[v] = g / (g + b)
-        g, b = sum(n * post[v] for v, n in counts.items()), sum(n * (1 - post[v]) for v, n in counts.items())
-        prior = (g + 1) / (g + b + 2)
-        good = [min(R.FALSE_ALARMS, (sum(n * post[v] for v, n in counts.items() if v[k]) + 1) / (g + 2)) for k in range(7)]
-        bad = [(sum(n * (1 - post[v]) for v, n in counts.items() if v[k]) + 1) / (b + 2) for k in range(7)]
-    assert abs(row.prior - prior) < 1e-9
-    assert max(abs(a - b) for a, b in zip([*row.good, *row.bad], [*good, *bad], strict=True)) < 1e-9
+            like = [prior[k] * math.prod({R.BAD: bad[k][r], R.GOOD: 1 - bad[k][r], R.ABSTAIN: 1.0}[v[r]] for r in rules) for k in classes]
+            post[v] = [x / sum(like) for x in like]
+        share = lambda k, r=None, kinds=(): sum(n * post[v][k] for v, n in counts.items() if r is None or v[r] in kinds)  # noqa: B023, E731
+        prior = [(share(k) + 1) / (total + len(classes)) for k in classes]
+        bad = [[(share(k, r, (R.BAD,)) + R.PRIOR_VOTES * begin[k][r]) / (share(k, r, (R.BAD, R.GOOD)) + R.PRIOR_VOTES) for r in rules] for k in classes]
+    return prior, bad
+
+
+def pattern(**votes: int) -> tuple[int, ...]:
+    return tuple(votes.get(name, R.GOOD) for name in R.RULES)
+
+
+def test_em_matches_plain_python(spark):
+    r = random.Random(1)
+    counts = {tuple(r.choice([R.GOOD, R.GOOD, R.ABSTAIN, R.BAD]) for _ in R.RULES): r.randint(1, 50) for _ in range(12)} | {pattern(): 900}
+    row = R.estimate(spark.createDataFrame([(list(v), n) for v, n in counts.items()], "votes array<int>, n long")).first()
+    prior, bad = em(counts)
+    assert row["prior"] == pytest.approx(prior, rel=1e-6) and all(x == pytest.approx(y, rel=1e-6) for x, y in zip(row["bad"], bad, strict=True))
+
+
+def test_accuracies_decide(spark):
+    """One vote of a rule that is often wrong doesn't reject; one of a rule that others confirm does, and so do two."""
+    counts = {
+        pattern(): 6000,
+        pattern(dup_lines=R.BAD): 900,  # often wrong: no other rule of its kind agrees
+        pattern(symbols=R.BAD, word_length=R.BAD): 300,
+        pattern(symbols=R.BAD, bars=R.BAD): 300,
+        pattern(symbols=R.BAD): 10,
+        pattern(shouting=R.BAD, case=R.BAD, ends=R.BAD): 200,
+    }
+    model = R.estimate(spark.createDataFrame([(list(v), n) for v, n in counts.items()], "votes array<int>, n long")).first()
+    asked = [pattern(), pattern(dup_lines=R.BAD), pattern(symbols=R.BAD), pattern(symbols=R.BAD, word_length=R.BAD), pattern(shouting=R.BAD, case=R.BAD), (R.ABSTAIN,) * len(R.RULES)]
+    good = [x.p for x in spark.createDataFrame([(list(v),) for v in asked], "votes array<int>").select(R.p_good(model["prior"], model["bad"]).alias("p")).collect()]
+    assert [g >= 0.5 for g in good] == [True, True, False, False, False, True]
+    assert good[-1] == pytest.approx(model["prior"][0])
 
 
 def test_empty(spark):
