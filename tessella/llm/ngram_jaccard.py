@@ -34,7 +34,7 @@ FREQUENT = 64
 #: Sets with up to so many frequent shingles in the prefix are indexed by pairs of them.
 COMBINED = 8
 #: Buckets of the histogram of postings, and the share of a task's postings from which on a bucket is counted apart.
-BUCKETS, HOT_SHARE = 1 << 18, 0.5
+BUCKETS, HOT_SHARE = 1 << 16, 0.5
 #: Partners in one list that travels beside a set.
 PARTNERS = 4096
 
@@ -63,7 +63,7 @@ def _prefix(n: Column, shared: int, index: bool) -> Column:
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
-    """Pairs (x, y), x the smaller set, that share a signature; each once."""
+    """Pairs (x, y), x the smaller set, that share a signature; each once. A stored table."""
     columns = ["id", "n", "pos", "index"]
     rare = prefixes.where((F.col("cnt") <= FREQUENT) & (F.col("pos") <= F.col("probe1"))).withColumn("index", F.col("pos") <= F.col("index1")).withColumn("sig", F.col("h"))
 
@@ -87,7 +87,9 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
         return a.join(b, "sig").where(fits).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
 
     found = meet(rare, rare).unionByName(meet(combined, combined)).unionByName(meet(single(many), single(frequent))).unionByName(meet(single(few), single(many)))
-    return found.distinct()
+    pairs = stored(found.distinct(), "pairs")
+    discard(frequent)
+    return pairs
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,14 +198,17 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = ranked.join(sizes, "id").withColumn("pos", n - F.col("m") + F.col("r")).drop("m", "r")
     placed = placed.withColumn("probe1", _prefix(n, 1, False)).withColumn("index1", _prefix(n, 1, True))
     prefixes = stored(placed.where("pos <= probe1 + 1"), "prefixes")
+    discard(idle)
 
-    pairs = stored(_candidates(prefixes), "pairs")
+    pairs = _candidates(prefixes)
+    discard(prefixes)
     # Sets are made again only of candidates: rows are filtered by id before their texts are split.
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     met = stored(classes.select(cid.alias("id"), "rep").join(ids, "id", "left_semi").select("rep").distinct(), "met")
     sets = stored(one_each(rows.join(small_side(met), F.col(id_col) == F.col("rep"), "left_semi")), "sets")
+    discard(met)
     links = _verify(pairs, sets)
-    discard(prefixes, sets)
+    discard(pairs, sets)
 
     counts = classes.select(cid.alias("id"), "key", "rep", "copies")
     sided = links.select(F.col("x").alias("id"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("id"), F.col("x").alias("other")))
