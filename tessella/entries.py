@@ -453,7 +453,7 @@ def write_blocks_reusing(spark: SparkSession, d: str) -> DataFrame:
 def block_chain(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
     edges = turns.withColumn("next", F.lead("id").over(Window.partitionBy("conv_id").orderBy("id"))).select("id", "next")
-    return B.chain(edges, turns.groupBy("conv_id").agg(F.min("id").alias("id")).select("id"), depth=90)
+    return B.chain(edges, turns.groupBy("conv_id").agg(F.min("id").alias("id")).select("id")).withColumn("depth", F.col("depth").cast("int"))
 
 
 @register("block_type_names", "SELECT CASE p_size % 10 WHEN 0 THEN 'normal' WHEN 1 THEN 'metadata' WHEN 2 THEN 'index' WHEN 3 THEN 'delta' WHEN 4 THEN 'xor' WHEN 5 THEN 'compression' WHEN 6 THEN 'encrypted' WHEN 7 THEN 'indirect' WHEN 8 THEN 'system' ELSE 'unknown' END AS kind, count(*) AS n FROM part GROUP BY kind")

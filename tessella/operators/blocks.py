@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessella.errors import NotFoundError
 from tessella.model import BLOCK_TYPES
+from tessella.scratch import stored
 
 
 def number(new: DataFrame, order: list[str], free: DataFrame | None = None, first: int = 1) -> DataFrame:
@@ -72,18 +73,21 @@ def deleted(blocks: DataFrame, block_id: int) -> DataFrame:
     return rest.withColumn("prev", F.when(F.col("block_id") == gone["next"], F.lit(gone["prev"])).otherwise(F.col("prev")))
 
 
-def chain(edges: DataFrame, starts: DataFrame, depth: int = 1000) -> DataFrame:
-    """edges: id, next; starts: id -> start, id, depth along the links, by a recursive query; depth bounds cycles."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("tessella_edges")
-    starts.createOrReplaceTempView("tessella_starts")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(start, id, depth) AS (
-          SELECT id, id, 0 FROM tessella_starts
-          UNION ALL
-          SELECT w.start, e.next, w.depth + 1 FROM walk w JOIN tessella_edges e ON e.id = w.id WHERE e.next IS NOT NULL AND w.depth < {int(depth)}
-        ) SELECT start, id, depth FROM walk"""
-    )
+def chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """edges: id, next; starts: id -> start, id, depth along the links. Pointers are doubled: round k adds what lies
+    2**k steps behind all that is found, so a chain of n blocks takes log2 n rounds. No walk is longer than all edges
+    (or ``depth``), which ends cycles."""
+    jump = stored(edges.where("next is not null").select("id", "next"), "jump")
+    longest = jump.count() if depth is None else min(depth, jump.count())
+    found = starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("bigint").alias("depth"))
+    step = 1
+    while step <= longest and not jump.isEmpty():
+        further = found.join(jump, "id").where(F.col("depth") + step <= longest).select("start", F.col("next").alias("id"), (F.col("depth") + step).alias("depth"))
+        found = stored(found.unionByName(further), "chain")
+        onward = jump.select(F.col("id").alias("next"), F.col("next").alias("end"))
+        jump = stored(jump.join(onward, "next").select("id", F.col("end").alias("next")), "jump")
+        step *= 2
+    return found
 
 
 def chain_positions(rows: DataFrame, chain_col: str, order_col: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,9 +37,13 @@ class FullTextIndex:
         """term, id, tf, positions, length. Counted within the row of a document: no shuffle."""
         if self._postings is not None:
             return self._postings
-        tokens = self.docs.select("id", self.tokenizer.tokens(F.col("content")).alias("t"))
-        per_term = F.transform(F.array_distinct(F.transform("t", lambda x: x["term"])), lambda term: F.struct(term.alias("term"), F.transform(F.filter("t", lambda x: x["term"] == term), lambda x: x["pos"]).alias("positions")))
-        return tokens.select("id", F.size("t").alias("length"), F.explode(per_term).alias("p")).select("p.term", "id", F.size("p.positions").alias("tf"), "p.positions", "length")
+        # sorted by term and position once; a term's positions are then the stretch between two changes of term
+        tokens = self.docs.select("id", F.array_sort(self.tokenizer.tokens(F.col("content"))).alias("t")).where(F.size("t") > 0)
+        starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i)["term"] != F.get("t", i - 1)["term"]))
+        marked = tokens.withColumn("starts", starts)
+        ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("t")))
+        runs = F.zip_with("starts", ends, lambda a, b: F.struct(F.get("t", a)["term"].alias("term"), F.transform(F.slice("t", a + 1, b - a), lambda x: x["pos"]).alias("positions")))
+        return marked.select("id", F.size("t").alias("length"), F.explode(runs).alias("p")).select("p.term", "id", F.size("p.positions").alias("tf"), "p.positions", "length")
 
     def term_frequency(self) -> DataFrame:
         return self.tokens().groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -71,8 +76,8 @@ class FullTextIndex:
         times = F.create_map(*[F.lit(x) for pair in terms for x in pair])
         wanted = [t for t, _ in terms]
         if self._postings is None:
-            # one pass: only tokens of the query leave the scan
-            tokens = self.docs.select("id", self.tokenizer.terms(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+            # one pass: texts without any term of the query aren't tokenized, and only tokens of the query leave the scan
+            tokens = self._holding(wanted, options).select("id", self.tokenizer.terms(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
             match = self._match(F.col("term"), wanted, options)
             hits = tokens.withColumn("query", match).where("query is not null").groupBy("id", "length", "query").agg(F.count("*").alias("tf"))
         else:
@@ -86,6 +91,14 @@ class FullTextIndex:
         part = F.col("tf") / F.col("length") * F.col("idf") * F.element_at(times, F.col("query"))
         return weighted.groupBy("id").agg(F.sum(part).alias("score")).where(F.col("score") >= options.threshold)
 
+    def _holding(self, wanted: list[str], options: SearchOptions) -> DataFrame:
+        """Documents that may hold a term: a term is a contiguous piece of the lower-cased text (a capital sigma at a
+        word's end may lower-case otherwise, so terms with sigmas are not looked for)."""
+        if options.fuzzy is not None or any(c in t for t in wanted for c in "σς"):
+            return self.docs
+        text = F.col("content") if self.tokenizer.case_sensitive else F.lower("content")
+        return self.docs.where(functools.reduce(lambda a, b: a | b, [text.contains(w) for w in wanted]))
+
     @staticmethod
     def _match(term: Column, wanted: list[str], options: SearchOptions) -> Column:
         if options.fuzzy is None:

@@ -276,3 +276,29 @@ def test_config(tmp_path):
     Config(index=Index(shards=8)).save(path)
     os.utime(path, ns=(1, 1))
     assert manager.poll() and manager.current.index.shards == 8 and not manager.poll()
+
+
+def test_long_chains_cycles_and_roles(spark):
+    """Pointers are doubled: no depth of recursion bounds a walk, and a cycle ends."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(2_000)] + [(20_000, 20_001), (20_001, 20_000)], "id long, next long")
+    found = {(r.start, r.id): r.depth for r in B.chain(edges, spark.createDataFrame([(0,), (1_990,), (50_000,)], "id long")).collect()}
+    assert found == {(0, k): k for k in range(2_001)} | {(1_990, k): k - 1_990 for k in range(1_990, 2_001)} | {(50_000, 50_000): 0}
+    assert {r.id for r in B.chain(edges, spark.createDataFrame([(20_000,)], "id long"), depth=5).collect()} == {20_000, 20_001}
+    roles = SEC.effective_roles(spark.createDataFrame([("u", "r0")], "subject string, role string"), spark.createDataFrame([(f"r{k}", f"r{k + 1}") for k in range(300)] + [("r300", "r0")], "role string, parent string"))
+    assert {r.role for r in roles.collect()} == {f"r{k}" for k in range(301)}
+
+
+def test_types_and_attributes_of_rules(spark):
+    schema = "subject_id string, resource_id string, operation string, effect string, expires_at timestamp, subject_attributes map<string,string>, resource_type string"
+    acl = spark.createDataFrame([("*", "/a/*", "read", "allow", None, {"team": "x"}, "*"), ("ann", "/a/*", "read", "deny", None, None, "secret")], schema)
+    asked = spark.createDataFrame([(1, "bob", "/a/1", "read", {"team": "x"}, "plain"), (2, "bob", "/a/1", "read", {"team": "y"}, "plain"), (3, "ann", "/a/1", "read", {"team": "x"}, "secret"), (4, "ann", "/a/1", "read", {"team": "x"}, "plain")], "request_id long, subject string, resource string, operation string, subject_attributes map<string,string>, resource_type string")
+    want = [(1, True, False), (2, False, False), (3, False, True), (4, True, False)]
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert sorted(map(tuple, SEC.acl_check(asked, acl, now).collect())) == want
+    before, SEC.BROADCAST_RULES = SEC.BROADCAST_RULES, 0
+    try:
+        assert sorted(map(tuple, SEC.acl_check(asked, acl, now).collect())) == want
+    finally:
+        SEC.BROADCAST_RULES = before
+    with pytest.raises(E.NotFoundError):
+        SEC.assign(spark.createDataFrame([("u", "a")], "subject string, role string"), spark.createDataFrame([("a",)], "role string"), spark.createDataFrame([("u", "b")], "subject string, role string"))
