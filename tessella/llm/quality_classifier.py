@@ -1,10 +1,12 @@
 """Quality classifier by hierarchical empirical Bayes: a document's own evidence with its host's and path's record.
 
 A logistic model over text measures, fitted on labelled rows, gives each document's evidence. Grouped aggregation
-gives every host (source) and path within it (source and language) the sum of that evidence. A host's rate is shrunk
-towards the global prior and a path's towards its host's, the more the fewer documents they have; how much is
-estimated from the spread of the rates over all groups (method of moments). The posterior odds of a document are its
-own odds, moved by what its path's rate adds to the global prior.
+gives every host and path within it its record: of labelled documents their labels, of others the evidence. A source
+that is a URL has its host and its first path segment, any other stands for a host itself; the language is part of the
+path. A host's rate is shrunk towards the global prior and a path's towards its host's, the more the fewer documents
+they have; how much is estimated from the spread of the rates over all groups (method of moments), so that sites that
+differ by chance alone are all taken as the global prior. A document's own part is left out of its path's record. The
+posterior odds of a document are its own odds, moved from the global prior to its path's rate.
 
 The fit uses at most ``train_rows`` labelled rows, chosen by a hash; measures, group statistics and decisions cover
 all rows.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_side, stored
@@ -29,8 +31,8 @@ from tessella.shipping import map_arrow
 
 TRAIN_ROWS = 20_000
 MEASURES = ("log_words", "mean_word", "symbols", "bars", "upper", "shouts", "digits", "stops", "dup_lines", "distinct_words", "short_lines", "long_words")
-#: A site's or path's whole weight in the odds.
-SITE_WEIGHT = 0.5
+#: How far the odds move from the global prior to the path's rate: 1 is Bayes' rule, 0 leaves sites out.
+SITE_WEIGHT = 1.0
 _SYMBOLS = re.compile(r"[#*$%&<>]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGITS = re.compile(r"[0-9]")
@@ -88,7 +90,7 @@ class Evidence:
         return np.clip((x - self.mean) / self.scale, -4, 4)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(_expanded(self._scaled(x)) @ self.w, -20, 20)
+        return np.clip(_expanded(self._scaled(x)) @ self.w, -19, 19)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -113,22 +115,35 @@ def fit(found: DataFrame, labels: DataFrame, train_rows: int) -> Evidence | None
     return Evidence(np.array([r["m"] for r in rows]), y)
 
 
-def shrunk(groups: DataFrame, key: list[str], rate: str) -> DataFrame:
-    """groups: key, n, good (sum of evidence), <rate> (what to shrink to) -> key, n, posterior rate. The strength is
-    estimated from all groups at once: between-group variance beyond what chance gives, as of a beta prior."""
+def strength_of(groups: DataFrame, rate: str) -> float:
+    """groups: n, good, <rate> (what to shrink to) -> how many documents the rate counts for, as of a beta prior:
+    estimated from all groups at once, by the variance between them beyond what chance gives."""
     p = F.col("good") / F.col("n")
     spread = groups.where("n > 1").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(p - F.col(rate), 2)).alias("v"), F.sum(F.col("n") * F.col(rate) * (1 - F.col(rate))).alias("u"), F.count("*").alias("k")).first()
-    strength = 50.0
-    if spread["n"] and spread["u"]:
-        unit, between = spread["u"] / spread["n"], (spread["v"] - spread["k"] * spread["u"] / spread["n"]) / spread["n"]
-        strength = float(min(1e4, max(2.0, unit / between - 1))) if between > 0 else 1e4
+    if not spread["n"] or not spread["u"]:
+        return 50.0
+    unit, between = spread["u"] / spread["n"], (spread["v"] - spread["k"] * spread["u"] / spread["n"]) / spread["n"]
+    return float(min(1e4, max(2.0, unit / between - 1))) if between > 0 else 1e4
+
+
+def shrunk(groups: DataFrame, rate: str) -> DataFrame:
+    """groups with posterior: the rate of each, shrunk to what <rate> says."""
+    strength = strength_of(groups, rate)
     return groups.withColumn("posterior", (F.col("good") + strength * F.col(rate)) / (F.col("n") + strength))
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL; what is no URL is a host with an empty path."""
+    parts = "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)/?([^/?#]*)"
+    is_url = url.rlike(parts)
+    return F.when(is_url, F.lower(F.regexp_extract(url, parts, 1))).otherwise(url), F.when(is_url, F.regexp_extract(url, parts, 2)).otherwise("")
+
+
 def quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, threshold: float = 0.5, site_weight: float = SITE_WEIGHT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, score, kept."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    host, segment = site(F.col(host_col).cast("string"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), F.concat_ws("/", segment, F.col(path_col).cast("string")).alias("path"), F.col(text_col).alias("text"))
     found = stored(measured(rows), "quality")
     model = fit(found, labels.select(F.col(id_col).alias("doc_id"), "quality"), train_rows)
     if model is None:
@@ -144,20 +159,26 @@ def quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS,
     kind = found.schema["doc_id"].dataType.simpleString()
     scored = stored(map_arrow(found, run, f"doc_id {kind}, host string, path string, odds double").withColumn("evidence", F.lit(1.0) / (1 + F.exp(-F.col("odds")))), "evidence")
 
+    # Labels count whole, wherever they are: every labelled row, not the fit's sample
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    scored = stored(scored.join(small_side(known), "doc_id", "left").withColumn("good", F.when(F.col("odds") > -20.0, F.coalesce(F.col("label").cast("double"), F.col("evidence"))).otherwise(0.0)).drop("label"), "records")
     # sums of (host, path), then of hosts, then of all: each aggregated before it is shuffled, whatever a host holds
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good")), "paths")
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     prior = min(0.999, max(0.001, total["good"] / total["n"])) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(prior))
-    hosts = shrunk(hosts, ["host"], "prior").select(F.col("host").alias("h"), F.col("posterior").alias("host_rate"))
-    paths = shrunk(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), ["host", "path"], "host_rate")
-    rates = stored(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", F.col("posterior").alias("path_rate")), "rates")
+    hosts = shrunk(hosts, "prior").select(F.col("host").alias("h"), F.col("posterior").alias("host_rate"))
+    paths = stored(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "rates")
+    by_path = strength_of(paths, "host_rate")
+    rates = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
 
     logit = lambda c: F.log(c / (1 - c))
-    bounded = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_rate")))
     joined = scored.join(small_side(rates), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    score = F.lit(1.0) / (1 + F.exp(-(F.col("odds") + site_weight * (logit(bounded) - F.log(F.lit(prior / (1 - prior)))))))
-    return joined.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("kept"))
+    rate = (F.col("path_good") - F.col("good") + by_path * F.col("host_rate")) / (F.col("path_n") - 1 + by_path)
+    joined = joined.withColumn("path_rate", F.least(F.lit(0.999), F.greatest(F.lit(0.001), rate)))
+    score = F.lit(1.0) / (1 + F.exp(-(F.col("odds") + site_weight * (logit(F.col("path_rate")) - F.log(F.lit(prior / (1 - prior)))))))
+    has_text = F.col("odds") > -20.0
+    return joined.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score"), (has_text & (score >= threshold)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

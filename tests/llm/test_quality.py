@@ -128,5 +128,29 @@ def test_classifier(spark):
 
 def test_shrinkage_is_stronger_for_sparse_groups(spark):
     groups = spark.createDataFrame([("a", 1000, 500.0), ("b", 1000, 950.0), ("c", 2, 0.0)], "host string, n long, good double").selectExpr("*", "0.75D AS prior")
-    got = {x.host: x.posterior for x in C.shrunk(groups, ["host"], "prior").collect()}
+    got = {x.host: x.posterior for x in C.shrunk(groups, "prior").collect()}
     assert abs(got["a"] - 0.5) < 0.05 and abs(got["b"] - 0.95) < 0.05 and got["c"] > 0.2
+
+
+def test_sites_move_verdicts(spark):
+    """Documents of the same middling evidence: kept on hosts and paths with a good record, rejected on bad ones, and
+    alike where the sites are left out."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randint(0, 999)}" for _ in range(n)]
+
+    def text(noise: float) -> str:
+        return " ".join(w + ("###" if r.random() < noise else "") for w in words(60))
+
+    rows, labels = [], []
+    for k in range(600):
+        host, good = ("https://Good.example/a/1", k % 20 != 0) if k % 2 else ("https://bad.example/junk/2", k % 20 == 0)
+        rows.append((k, text(r.uniform(0.0, 0.45) if good else r.uniform(0.15, 0.6)), host, "en"))
+        labels.append((k, int(good)))
+    middling = [(1000 + k, text(0.3)) for k in range(30)]
+    rows += [(d, t, "http://good.example/a/x", "en") for d, t in middling] + [(d + 1000, t, "http://bad.example/junk/x", "en") for d, t in middling]
+    args = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {x.doc_id: x.kept for x in C.quality(*args).collect()}
+    alike = {x.doc_id: x.kept for x in C.quality(*args, site_weight=0.0).collect()}
+    on_good, on_bad = (sum(kept[d + k] for d, _ in middling) for k in (0, 1000))
+    assert on_good >= 24 and on_bad <= 6
+    assert all(alike[d] == alike[d + 1000] for d, _ in middling)
