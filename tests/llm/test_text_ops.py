@@ -201,6 +201,26 @@ def test_added_spans_and_redaction(spark):
     assert out[99] is None and out[100] == "" and out[101] == "clean words only"
 
 
+def test_classifier_sees_more_than_votes(spark):
+    """Of spans on which the labelers agree alike, it takes those whose context is that of sure ones."""
+    yes, no, torn = (P.YES, P.YES, P.ABSTAIN, P.YES, P.YES), (P.NO, P.ABSTAIN, P.ABSTAIN, P.NO, P.NO), (P.ABSTAIN, P.ABSTAIN, P.ABSTAIN, P.YES, P.NO)
+    near, far = (1, 2, 3, 0), (1, 2, 1, 0)
+    counts = {P.code("number", yes + near): 300, P.code("number", no + far): 300, P.code("number", torn + near): 20, P.code("number", torn + far): 20}
+    post = P.reliabilities(counts)
+    assert post[P.code("number", torn + near)] == post[P.code("number", torn + far)]
+    post = {c: 1.0 if c == P.code("number", yes + near) else 0.0 if c == P.code("number", no + far) else 0.5 for c in counts}
+    takes = P.Takes(P.train(counts, post))
+    assert [takes[P.code("number", v)] for v in (yes + near, no + far, torn + near, torn + far)] == [True, False, True, False]
+    assert all(P.code(*P.uncode(c)) == c for c in counts)
+
+
+def test_more_kinds(spark):
+    texts = ["please call (678) 555-5272 today", "write to jane.doe [at] mail [dot] example [dot] com now", "we met Jennifer Whitfield there", "phone +1 (678) 555-5272", "the 2020-2021 season, 3.14 and Upper Case Words", "x " * 100_000 + "call 678-555-5272"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {x.doc_id: [k.split(":")[0] for k in x.spans.split(",") if k] for x in P.personal_data(docs).collect()}
+    assert kinds == {0: ["tel"], 1: ["mail"], 2: ["name"], 3: ["phone"], 4: [], 5: ["tel"]}
+
+
 # --- repeated lines ------------------------------------------------------------------------------------------------
 
 
