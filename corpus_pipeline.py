@@ -2,6 +2,10 @@
 
 Every stage takes what its predecessor kept and is written as Parquet and read again before the next, so a lost
 executor costs at most a stage. Part of the training-data operators in tessella.llm.
+
+Defined results: null, empty and all-space texts are rejected by the first stage; rows without doc_id pass the filtering
+stages, whose decisions are joined by doc_id; of repeated rows one stays; columns beside those of documents go through
+all stages but the last, which returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 """
 
 from __future__ import annotations
