@@ -85,6 +85,32 @@ def test_keys_that_share_a_hash(spark, monkeypatch):
     assert sorted(map(tuple, N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize(("seed", "bits"), [(1, 3), (2, 6), (3, 10)])
+def test_tokens_that_clash(spark, monkeypatch, seed, bits):
+    """Shingles of a document, and of several, that share a token lose no link."""
+    monkeypatch.setattr(N, "TOKEN_BITS", bits)
+    monkeypatch.setattr(N, "FREQUENT", 5)
+    monkeypatch.setattr(N, "SAMPLED", 10)
+    rows = corpus(seed, 120)
+    assert sorted(map(tuple, N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """The plan of the postings makes each set once, after the rows that take no part have gone."""
+
+    class Seen(Exception):
+        pass
+
+    def counted(postings, *_):
+        raise Seen(postings._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(N, "_counted", counted)
+    with pytest.raises(Seen) as seen:
+        N.similar_documents(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string"))
+    plan = str(seen.value)
+    assert plan.count("array_distinct") == 1 and plan.index("array_distinct") < plan.index("LeftAnti")
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 3000)], "x long, y long")
     found = {r.id: r.component for r in N.components(links).collect()}
