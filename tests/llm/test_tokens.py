@@ -100,3 +100,18 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(docs).collect() == []
     assert bpe.round_trip(docs).collect() == []
+
+
+def test_new_pieces_of_a_group_share_a_queue(monkeypatch):
+    """Pieces that are merged together get the ids that each gets alone, and a group of texts asks for them at once."""
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    r = random.Random(5)
+    pieces = [bytes(r.choice(b"abcdeothen r") for _ in range(r.randint(1, 40))) for _ in range(300)] + [b"a" * 999, "é世".encode() * 50, b"\x80\xff" * 9, b" " * 300]
+    assert codec._merge_all(pieces) == [codec._merge(p) for p in pieces] and not any(codec.leaf)
+    calls = []
+    real = codec._merge_all
+    monkeypatch.setattr(codec, "_merge_all", lambda block: calls.append(len(block)) or real(block))
+    texts = [" ".join("".join(r.choice("qxzjkv") for _ in range(9)) for _ in range(20)) for _ in range(30)] + ["", "z" * 80]
+    reference = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    assert list(codec.ids_texts(texts)) == [",".join(map(str, reference.encode_ordinary(t))) for t in texts]
+    assert len(calls) == 1 and calls[0] > 500
