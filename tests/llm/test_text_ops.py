@@ -84,6 +84,26 @@ def test_open_pages_of_a_host(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_groups_of_a_host_see_the_whole_host(spark, monkeypatch):
+    """Runs on two pages, common blocks and short ones are found in whichever groups of the host their pages are."""
+    r = random.Random(3)
+    word = lambda k, j: f"word{k}x{j}"
+    shared = [" ".join(f"shared{s}y{j}" for j in range(12)) for s in range(20)]
+    rows = []
+    for k in range(60):
+        parts = [" ".join(word(k, j) for j in range(15)), shared[k % 20] if k < 40 else "Only here", "Home" if k < 45 else "Rare"]
+        rows.append((k, f"http://h.example/{k}", "<body>" + "".join(f"<div>{p}</div>" for p in parts) + "</body>"))
+        article = [" ".join(word(100 + k, j) for j in range(15)), "read more of this from all of our writers each day"][: 1 + (k % 3 > 0)]
+        rows.append((100 + k, f"http://a.example/{k}", page("<article>" + "".join(f"<p>{p}</p>" for p in article) + "</article>")))
+    rows += [r.choice(rows) for _ in range(5)] + [(500 + k, f"http://small.example/{k}", page(f"<article><p>Own {k}</p></article>")) for k in range(3)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, H.main_text(docs).collect()))
+    monkeypatch.setattr(H, "GROUP_PAGES", 4)
+    assert sorted(map(tuple, H.main_text(docs).collect())) == want
+    text = {x[0]: x[2] for x in want}
+    assert text[0] == " ".join(word(0, j) for j in range(15)) and text[50].endswith("Only here\nRare") and "read more" not in text[101] and len(want) == len(rows)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
