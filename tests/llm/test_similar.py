@@ -95,6 +95,52 @@ def test_tokens_that_clash(spark, monkeypatch, seed, bits):
     assert sorted(map(tuple, N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize(("seed", "bits", "counted"), [(1, 40, 0), (2, 40, 40), (3, 40, 100), (4, 3, 3), (5, 40, 256)])
+def test_tokens_that_are_not_counted(spark, monkeypatch, seed, bits, counted):
+    """Whatever share of the tokens is counted, and whether the others are needed or not, no link is lost."""
+    monkeypatch.setattr(N, "COUNTED", counted)
+    monkeypatch.setattr(N, "TOKEN_BITS", bits)
+    monkeypatch.setattr(N, "FREQUENT", 3)
+    monkeypatch.setattr(N, "COMBINED", 4)
+    rows = corpus(seed, 120) + [(2000 + k, "p q r s t u v w x y z"[: 2 * k + 1]) for k in range(11)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.similar_documents(docs, hot_share=0.001 if seed % 2 else 0.5).collect())) == brute(rows)
+
+
+def test_half_of_the_shingles_travels(spark):
+    """Of long sets about half are sent to be counted, of any set enough to fill its longest prefix."""
+    docs = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n + 2))) for n in (1, 2, 5, 12, 30, 2000)], "doc_id long, text string")
+    sent = {r.id: r["count"] for r in N._postings(N._sets(docs, "doc_id", "text")).groupBy("id").count().collect()}
+    assert sent[2000] < 1200
+    assert all(sent[n] >= min(n, n - -(-7 * n // 10) + 2) for n in (1, 2, 5, 12, 30, 2000))
+    sizes = N._sets(docs, "doc_id", "text").select("id", N.let(N.F.col("s"), N._size).alias("z")).select("id", "z.*").collect()
+    assert {r.id: (r.n, r.m_sent) for r in sizes} == {n: (n, m) for n, m in sent.items()}
+
+
+def test_a_set_travels_once_to_a_group_of_near_copies(spark, monkeypatch):
+    """Members of a group that are each other's candidates meet in one block; only a large group is spread."""
+    pairs = [(g * 100 + i, g * 100 + j) for g in range(20) for i in range(12) for j in range(i + 1, 12)]
+    stored = N.stored(spark.createDataFrame(pairs, "x long, y long"), "test")
+
+    def blocks_of_groups():
+        found = N._homes(stored, 64).collect()
+        return [{r.block for r in found if r.x // 100 == g} for g in range(20)]
+
+    assert all(len(b) == 1 for b in blocks_of_groups())
+    monkeypatch.setattr(N, "NEIGHBOURS", 6)
+    assert all(len(b) > 1 for b in blocks_of_groups())
+
+
+@pytest.mark.parametrize(("neighbours", "partners", "broadcast"), [(1, 1, 1_000_000), (20, 3, 2), (1 << 16, 2, 1_000_000)])
+def test_groups_spread_over_blocks(spark, monkeypatch, neighbours, partners, broadcast):
+    monkeypatch.setattr(N, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(N, "PARTNERS", partners)
+    monkeypatch.setattr("tessella.llm.common.BROADCAST_ROWS", broadcast)
+    base = [f"w{k}" for k in range(60)]
+    rows = corpus(11, 60) + [(1000 + k, " ".join([*base[:k], f"z{k}", *base[k + 1 :]])) for k in range(30)]
+    assert sorted(map(tuple, N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_texts_are_split_once(spark, monkeypatch):
     """The plan of the postings makes each set once, after the rows that take no part have gone."""
 
