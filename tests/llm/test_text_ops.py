@@ -318,6 +318,67 @@ def test_passage_inside_a_longer_line(spark):
     assert [(g.first_doc_id, edited[g.start : g.end].strip()) for g in found[2].removed] == [(1, p) for p in passage]
 
 
+def _without_passages(rows: list[tuple], words: int) -> list[tuple]:
+    """doc_id, text left, spans (start, end, first_doc_id, first_start): by comparing all runs of words themselves."""
+    runs, first = {}, {}
+    for d, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0)):
+        tiles = list(re.finditer(U.WORD, t or ""))
+        names = [m.group().strip("\t\n\v\f\r ").lower() for m in tiles]
+        runs[d, t] = tiles, [tuple(names[k : k + words]) for k in range(len(names) - words + 1)]
+        for k, n in enumerate(runs[d, t][1]):
+            first.setdefault(n, (d, t, k))
+    out = []
+    for d, t in rows:
+        tiles, names = runs[d, t]
+        source = {}
+        for k, n in enumerate(names):
+            d1, t1, k1 = first[n]
+            if (d1, t1) != (d, t) or k >= k1 + words:
+                for j in range(k, k + words):
+                    source.setdefault(j, (d1, runs[d1, t1][0][k1].start()))
+        spans = []
+        for j in sorted(source):
+            if spans and j - 1 in source:
+                spans[-1][1] = tiles[j].end()
+            else:
+                spans.append([tiles[j].start(), tiles[j].end(), *source[j]])
+        left = (t or "")[: tiles[0].start() if tiles else None] + "".join(m.group() for j, m in enumerate(tiles) if j not in source)
+        out.append((d, left, [tuple(x) for x in spans]))
+    return out
+
+
+def _passages(spark, rows, **options) -> list[tuple]:
+    found = U.passage_dedup(spark.createDataFrame([(*x, "clash", 7, b"d") for x in rows], "doc_id long, text string, removed string, td long, digest binary"), **options).collect()
+    assert all(x.n_removed == len(x.removed) for x in found)
+    return [(x.doc_id, x.text, [tuple(g) for g in x.removed]) for x in found]
+
+
+@pytest.mark.parametrize("words", [2, 7, 51])
+def test_passages_against_brute_force(spark, words):
+    r = random.Random(words)
+    make = lambda n: "".join(r.choice(["alpha", "Beta", "gamma.", "3.5", "ÄÖ"]) + r.choice([" ", "  ", "\n", "\t"]) for _ in range(n))
+    pool = [make(n) for n in (words - 1, words, words + 1, 2 * words, 5 * words)]
+    rows = [(k, r.choice(["", " \n"]) + "".join(r.choice([make(r.randint(0, words)), x, x.upper()]) for x in r.choices(pool, k=r.randint(0, 4)))) for k in range(60)]
+    rows += [(100, "tior " * (3 * words + 5)), (101, "x " + "tior " * (words + 3) + "y"), (102, "的" * (2 * words)), (103, "前" + "的" * words), (104, None), (5, rows[5][1]), (None, pool[4]), (105, " \n"), (106, "")]
+    want = _without_passages(rows, words)
+    assert sorted(_passages(spark, rows, words=words), key=str) == sorted(want, key=str)
+    assert sum(len(x[2]) for x in want) > 20
+    assert _passages(spark, [], words=words) == []
+
+
+def test_passage_without_lines_and_sentences(spark):
+    """Units of lines and sentences miss each of these: short sentences, no sentence ends, ends that are shifted."""
+    short = " ".join(f"Word{k} is here." for k in range(20))
+    endless = " ".join(f"plain{k}" for k in range(60))
+    rows = [(1, f"A begins {short} here ends."), (2, f"B opens {short} there stops."), (3, f"begins {endless} behind"), (4, f"other {endless} differs"), (5, endless[: endless.index("plain50")]), (6, f"New {endless[: endless.index('plain50')]}too")]
+    found = {d: (text, spans) for d, text, spans in _passages(spark, rows)}
+    assert [found[d][1] for d in (1, 3, 6)] == [[], [], []]
+    assert found[2] == ("B opens there stops.", [(8, 8 + len(short) + 1, 1, 9)])
+    assert found[4] == ("other differs", [(6, 6 + len(endless) + 1, 3, 7)])
+    assert found[5][1] == []  # 50 words
+    assert all(x.n_removed == 0 for x in U.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
