@@ -15,12 +15,13 @@ def number(new: DataFrame, order: list[str], free: DataFrame | None = None, firs
     """new rows with block_id: freed ids (free: block_id) first, then those from ``first`` on.
 
     Ids are dense, so rows need a global order; it comes from counts per range partition and a rank within each, not
-    from one task."""
-    ranged = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    from one task. Counts and ranks must see the same partitions, and a range exchange that is planned twice may be
+    sampled and coalesced otherwise, so the partitioned rows are stored, once."""
+    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    ranked = stored(ranged, "numbered").withColumn("_part", F.shiftright("_row", 33)).withColumn("_rank", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    placed = ranked.join(F.broadcast(starts), "_part").withColumn("_k", F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
+    placed = ranked.join(F.broadcast(starts), "_part").withColumn("_k", F.col("_start") + F.col("_rank")).drop("_row", "_part", "_rank", "_start")
     if free is None:
         return placed.withColumn("block_id", F.col("_k") + first - 1).drop("_k")
     reused = number(free.select(F.col("block_id").alias("_freed")).distinct(), ["_freed"]).select(F.col("block_id").alias("_k"), "_freed")

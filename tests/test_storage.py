@@ -302,3 +302,21 @@ def test_types_and_attributes_of_rules(spark):
         SEC.BROADCAST_RULES = before
     with pytest.raises(E.NotFoundError):
         SEC.assign(spark.createDataFrame([("u", "a")], "subject string, role string"), spark.createDataFrame([("a",)], "role string"), spark.createDataFrame([("u", "b")], "subject string, role string"))
+
+
+def test_numbers_stay_dense_and_in_order_in_many_partitions(spark):
+    """Each reader of the numbered rows takes other columns, so a range exchange of its own would be coalesced otherwise."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        data = spark.range(0, 20_000, 1, 4).select((F.col("id") * 7 % 20_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("data"))
+        rows = B.written(data, ["k"])
+        found = [(r["k"], r["block_id"]) for r in rows.select("k", "block_id").orderBy("k").collect()]
+        assert found == [(k, k + 1) for k in range(20_000)]
+        marked = rows.withColumn("data", F.when(F.col("block_id") % 10 == 0, F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
+        assert B.corrupted(marked).count() == 2_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
