@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import errors as E
+from tessella.functions.tokenizers import SIMPLE, UNICODE
 from tessella.operators import set_ops as S
 from tessella.operators.fulltext import FullTextIndex, SearchOptions
 from tessella.operators.tag_index import Condition, TagIndex
@@ -217,3 +218,36 @@ def test_search(spark, tmp_path):
     assert {r.id for r in index.upsert(spark.createDataFrame([(3, "quick now")], docs.schema)).search("quick").collect()} == {1, 2, 3}
     with pytest.raises(E.InvalidQueryError):
         index.search("the")
+
+
+def test_texts_are_tokenized_once_and_postings_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "Red hen, red fox"), (2, "the hen"), (3, None), (4, "--- ...")], "id long, content string")
+    index = FullTextIndex(docs, UNICODE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    search = index.scores("hen", SearchOptions(fuzzy=0.9, idf="constant"))
+    for df in (index.postings(), index.spans(), index.document_frequency(), search):
+        assert plan(df).count("regexp_extract_all") == 1
+    assert "Aggregate [id" not in plan(index.term_frequency()) + plan(index.document_frequency())
+
+
+def test_terms_of_repeated_ids_count_once(spark):
+    rows = [(1, "red hen red"), (1, "hen fox"), (2, "hen"), (None, "fox"), (None, "fox owl"), (3, ""), (4, None)]
+    index = FullTextIndex(spark.createDataFrame(rows, "id long, content string"))
+    assert {(r.term, r.df) for r in index.document_frequency().collect()} == {("red", 1), ("hen", 2), ("fox", 1), ("owl", 0)}
+    spans = {(r.term, r.id): (r.tf, r.first_pos, r.last_pos) for r in index.spans().collect()}
+    assert spans == {("red", 1): (2, 0, 2), ("hen", 1): (2, 0, 1), ("fox", 1): (1, 1, 1), ("hen", 2): (1, 0, 0), ("fox", None): (2, 0, 0), ("owl", None): (1, 1, 1)}
+    assert {(r.term, r.tf, r.df) for r in index.term_statistics().collect()} == {("red", 2, 1), ("hen", 3, 2), ("fox", 3, 1), ("owl", 1, 0)}
+
+
+def test_simple_tokens_are_pieces_between_white_space_without_outer_punctuation(spark):
+    texts = ["", " ", "...", "--Ab-c..  (d.e)!x", "ΟΔΟΣ. 'Σ ΑΣ', a.Σ Σ.a İSTANBUL", "　x ¿y? z\u0085", "٣, $5. ​q", "😀! «Été» ..a..b.."]
+    old = F.filter(F.transform(F.transform(F.split("t", r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", "")), F.lower), lambda t: (t != "") & ~t.isin(*SIMPLE.stop_words))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(old.alias("a"), SIMPLE.terms(F.col("t")).alias("b"))
+    assert all(r.a == r.b for r in df.collect()) and df.count() == len(texts)
+
+
+def test_saved_postings_are_filtered_in_the_scan(spark, tmp_path):
+    index = FullTextIndex(spark.createDataFrame([(1, "red hen"), (2, "fox")], "id long, content string"))
+    index.save(str(tmp_path))
+    found = FullTextIndex.load(spark, str(tmp_path)).scores("hen", SearchOptions(threshold=0.0))
+    assert "EqualTo(term,hen)" in found._jdf.queryExecution().executedPlan().toString() and [r.id for r in found.collect()] == [1]
