@@ -172,3 +172,23 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert N.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pairs_are_verified_by_their_differences_from_a_lead(spark):
+    """Groups of sets at all distances from their leads, those that share nothing with them included."""
+    rng = random.Random(5)
+    sets = {}
+    for group in range(4):
+        base = [group * 1000 + k for k in range(40)]
+        for k in range(12):
+            kept = rng.sample(base, rng.randint(0, 40) if k % 3 == 0 else rng.randint(30, 40))
+            sets[group * 100 + k] = kept + [rng.randrange(10**6, 10**6 + 60) for _ in range(rng.randint(0, 12))]
+    sets = {k: sorted(set(v)) or [k] for k, v in sets.items()}
+    stored_sets = N.stored(spark.createDataFrame(list(sets.items()), "id long, s array<long>"), "sets")
+    pairs = [(x, y) for x in sets for y in sets if (len(sets[x]), x) < (len(sets[y]), y) and (x // 100 == y // 100 or rng.random() < 0.1)]
+    stored_pairs = N.stored(spark.createDataFrame(pairs, "x long, y long"), "pairs")
+    homes = N._homes(stored_pairs, 4)
+    assert homes.columns == ["x", "lead", "block"] and homes.where("lead > x").isEmpty()
+    similar = {(x, y) for x, y in pairs if len({*sets[x]} & {*sets[y]}) * 100 >= len({*sets[x]} | {*sets[y]}) * 70}
+    found = [(r.x, r.y) for r in N._verify(stored_pairs, stored_sets).collect()]
+    assert len(found) == len(similar) > 20 and {*found} == similar
